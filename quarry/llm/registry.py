@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import quality
+from quarry.llm import minhash, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_minhash": minhash.op5_minhash,
     "op9_quality": quality.op9_quality,
 }
 ORACLES: dict[str, str] = {}
