@@ -64,12 +64,12 @@ def drop_table(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._quarry_path = path

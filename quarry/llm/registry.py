@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import minhash, quality
+from quarry.llm import bpe, minhash, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": minhash.op5_minhash,
+    "op6_bpe": bpe.op6_bpe,
     "op9_quality": quality.op9_quality,
 }
 ORACLES: dict[str, str] = {}
