@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, minhash, quality
+from quarry.llm import bpe, decontaminate, lines, minhash, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_windows": lines.op4_line_windows,
     "op5_minhash": minhash.op5_minhash,
     "op6_bpe": bpe.op6_bpe,
     "op9_quality": quality.op9_quality,
+    "op10_templates": decontaminate.op10_templates,
+}
+ORACLES: dict[str, str] = {
+    "op4_line_windows": lines.ORACLE,
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
