@@ -57,7 +57,8 @@ def _windows(df: DataFrame, keys: list[str]) -> DataFrame:
         rest = F.slice(f"h{step}", step + 1, F.greatest(F.size(f"h{step}") - step, F.lit(0)))
         df = df.select(*keys, F.zip_with(F.slice(f"h{step}", 1, F.greatest(F.size(f"h{step}") - step, F.lit(0))), rest, lambda a, b: F.xxhash64(a, b)).alias(f"h{2 * step}"))
         step *= 2
-    return df.select(*keys, F.posexplode(f"h{WINDOW}").alias("at", "h"))
+    # outer: else the optimiser filters on the array's size first, which makes the whole chain again for each step
+    return df.select(*keys, F.posexplode_outer(f"h{WINDOW}").alias("at", "h")).where("h is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_covered: float = MIN_COVERED) -> DataFrame:

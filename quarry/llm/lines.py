@@ -41,7 +41,8 @@ def _windows(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    return docs.select("doc_id", "key", F.explode(let(_numbered(text_of()), make)).alias("w")).select("doc_id", "key", "w.*")
+    # outer: else the optimiser makes the array twice, once to filter on its size
+    return docs.select("doc_id", "key", F.explode_outer(let(_numbered(text_of()), make)).alias("w")).where("w is not null").select("doc_id", "key", "w.*")
 
 
 def _merged(spans: Column) -> Column:
