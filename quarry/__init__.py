@@ -1 +1,8 @@
 """quarry: code-quality analytics (metrics, rules, graphs, datasets, evaluation) as Spark DataFrame programs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel with the plan, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
