@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import bpe, decontaminate, lines, minhash, quality
+from quarry.llm import bpe, chat, decontaminate, lines, minhash, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_line_windows": lines.op4_line_windows,
     "op5_minhash": minhash.op5_minhash,
     "op6_bpe": bpe.op6_bpe,
+    "op7_chat": chat.op7_chat,
     "op9_quality": quality.op9_quality,
     "op10_templates": decontaminate.op10_templates,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_line_windows": lines.ORACLE,
+    "op7_chat": chat.ORACLE,
 }
 
 
