@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import bpe, chat, decontaminate, lines, minhash, quality, toxicity
+from quarry.llm import bpe, chat, decontaminate, lines, minhash, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_packing": packing.op3_packing,
     "op4_line_windows": lines.op4_line_windows,
     "op5_minhash": minhash.op5_minhash,
     "op6_bpe": bpe.op6_bpe,
