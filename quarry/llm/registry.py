@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import bpe, chat, decontaminate, lines, minhash, packing, quality, toxicity
+from quarry.llm import bpe, chaining, chat, decontaminate, lines, minhash, packing, quality, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_chaining": chaining.op2_chaining,
     "op3_packing": packing.op3_packing,
     "op4_line_windows": lines.op4_line_windows,
     "op5_minhash": minhash.op5_minhash,
     "op6_bpe": bpe.op6_bpe,
     "op7_chat": chat.op7_chat,
+    "op8_surrogates": surrogates.op8_surrogates,
     "op9_quality": quality.op9_quality,
     "op10_templates": decontaminate.op10_templates,
     "pipeline": corpus_pipeline.run,
