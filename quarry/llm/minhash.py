@@ -2,9 +2,9 @@
 
 Copies with the same set of shingles collapse into a class first; classes are the nodes. A signature of 128
 minima is cut into 32 bands of 4, which misses a pair at similarity 0.75 with probability below 1e-5. Within a
-bucket every class is compared with the bucket's least class (a star), components are formed, and only pairs of a
-bucket that are still in different components are compared with one another. Signatures discard pairs that are
-far below the threshold; every link is confirmed on the full sets.
+bucket every class is compared with the bucket's most central class (a star), components are formed, and only pairs
+of a bucket that are still in different components are compared with one another. Signatures and bitmaps of the
+sets discard pairs below the threshold inside the join; every link is confirmed on the full sets.
 
 Defined results: a null or empty text, or one without words, has no shingles, links with nothing and is its own
 component; a text of fewer words than a shingle is one shingle; repeated rows get the same component; rows that
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import read, text_of, written
@@ -29,8 +29,14 @@ SHINGLE = 5
 THRESHOLD_PERCENT = 75
 MINIMA = 128
 ROWS_PER_BAND = 4
-#: Pairs with fewer equal minima are discarded unread: over four standard deviations below 0.75.
-LEAST_EQUAL = 74
+#: Low bits of every minimum that the signature keeps.
+SIGNATURE_BITS = 4
+#: Pairs with fewer equal signature places are discarded unread: 4.5 standard deviations below what 0.75 gives.
+LEAST_EQUAL = 76
+#: Bits of a set's bitmap. Bits that differ are at most as many as members that differ, so this test loses nothing.
+BITMAP = 1024
+#: Ids up to this number are broadcast (8 bytes each); more are joined by shuffle.
+MAX_BROADCAST = 1_000_000
 CACHED_WORDS = 300_000
 #: Shingles hashed at once; bounds a worker's memory.
 BLOCK = 1 << 16
@@ -87,7 +93,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
-        sig: list[bytes | None] = [None] * len(sets)
+        sig: list = [None] * len(sets)
         bands: list = [[]] * len(sets)
         if full:
             made = signatures([sets[i] for i in full])
@@ -95,10 +101,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.arange(cut.shape[1], dtype=np.uint64)[None, :] * _C[9]
             for j in range(ROWS_PER_BAND):
                 key = mixed(key + cut[:, :, j] * _C[10 + j])
-            for i, s, b in zip(full, made, key.view(np.int64), strict=True):
-                sig[i], bands[i] = s.tobytes(), b
+            low = (made & np.uint32((1 << SIGNATURE_BITS) - 1)).astype(np.uint8)
+            packed = ((low[:, ::2] << np.uint8(SIGNATURE_BITS)) | low[:, 1::2]).view(np.int64)
+            for i, s, b in zip(full, packed, key.view(np.int64), strict=True):
+                bits = np.zeros(BITMAP, np.uint8)
+                bits[sets[i] % np.uint64(BITMAP)] = 1
+                sig[i], bands[i] = np.concatenate([s, np.packbits(bits).view(np.int64)]), b
         fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "sig", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "sig", "bands"])
 
     for batch in batches:
         ids, sets, size = [], [], 0
@@ -133,53 +143,58 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["u", "v"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and signatures allow the threshold."""
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if not len(t):
-            continue
-        a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA) for c in ("sa", "sb"))
-        yield t.select(["u", "v"]).filter(pa.array((a == b).sum(1) >= LEAST_EQUAL)).combine_chunks().to_batches()[0] if len(t) else batch
+def _fits(a: str, b: str) -> Column:
+    """Sizes, bitmaps and signatures of the structs a and b allow the threshold; evaluated inside the join, on 64-bit words."""
+    equal, differ, words = F.lit(0), F.lit(0), MINIMA * SIGNATURE_BITS // 64
+    for i in range(words, words + BITMAP // 64):
+        differ = differ + F.bit_count(F.col(f"{a}.sig")[i].bitwiseXOR(F.col(f"{b}.sig")[i]))
+    for i in range(words):
+        x = F.col(f"{a}.sig")[i].bitwiseXOR(F.col(f"{b}.sig")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        equal = equal + 16 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sizes = 100 * F.least(na, nb) >= THRESHOLD_PERCENT * F.greatest(na, nb)
+    return sizes & ((100 + THRESHOLD_PERCENT) * differ <= (100 - THRESHOLD_PERCENT) * (na + nb)) & (equal >= LEAST_EQUAL)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "signed")
+    signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, fp binary, sig array<long>, bands array<long>"), "signed")
     classes = signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
     # one row for each class: the row of its least document
-    nodes = written(signed.join(classes, (signed.fp == classes.fp) & (signed.doc_id == classes.node), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "fp", "sig", "bands").dropDuplicates(["fp"]), "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = written(keys.join(buckets.select("key", "least"), "key").select("key", "node", "least"), "members")
-    star = written(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "star")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        sigs = nodes.select("node", "n_shingles", "sig")
-        # a difference in size alone can rule the threshold out
-        fits = F.expr(f"100 * least(na, nb) >= {THRESHOLD_PERCENT} * greatest(na, nb)")
-        known = pairs.join(sigs.toDF("u", "na", "sa"), "u").join(sigs.toDF("v", "nb", "sb"), "v").where(fits)
-        near = written(known.select("u", "v", "sa", "sb").mapInArrow(_alike, "u long, v long").distinct(), f"near-{name}")
-        wanted = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
-        sets = texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, items binary")
-        sets = written(sets, f"sets-{name}")
+    nodes = written(signed.join(classes, (signed.fp == classes.fp) & (signed.doc_id == classes.node), "left_semi").select(F.struct(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig").alias("x"), "fp", "bands").dropDuplicates(["fp"]).drop("fp"), "nodes")
+    keys = nodes.select(F.col("x.node").alias("node"), F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = written(keys.join(buckets, "key").select("key", "node", "n"), "placed")
+    # a class near the middle of its group is in the group's large buckets: the best centre for a star
+    central = placed.groupBy("node").agg(F.sum("n").alias("reach")).join(nodes.select("x", F.col("x.node").alias("node")), "node")
+    members = written(placed.join(central, "node").select("key", "reach", "x"), "members")
+    centre = members.groupBy("key").agg(F.max_by("x", F.struct("reach", "x.node")).alias("y"))
+    star = members.join(centre, "key").where((F.col("x.node") != F.col("y.node")) & _fits("x", "y")).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    star = written(star.distinct(), "star")
+
+    def confirmed(near: DataFrame, name: str) -> DataFrame:
+        wanted = written(near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct(), f"wanted-{name}")
+        few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+        sets = written(texts.withColumnRenamed("doc_id", "node").join(few, "node", "left_semi").mapInArrow(_sets, "node long, items binary"), f"sets-{name}")
         full = near.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
         return written(full.mapInArrow(_linked, "u long, v long").distinct(), f"links-{name}")
 
     links = confirmed(star, "star")
     roots = written(components(links), "roots")
     # what the stars left apart: within each bucket, the members outside its largest component against the others
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, F.col("x.node") == F.col("node"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root"))
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     split = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1").select("key", F.col("top.root").alias("top"))
     open_ = placed.join(split, "key")
-    rest = open_.where("root <> top").select("key", F.col("node").alias("p"), F.col("root").alias("pr"))
-    other = open_.select("key", F.col("node").alias("q"), F.col("root").alias("qr"))
-    pairs = rest.join(other, "key").where("pr <> qr").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    more = confirmed(pairs, "rest")
+    rest = open_.where("root <> top").select("key", F.col("x").alias("p"), F.col("root").alias("pr"))
+    other = open_.select("key", F.col("x").alias("q"), F.col("root").alias("qr"))
+    pairs = rest.join(other, (rest["key"] == other["key"]) & F.expr("pr <> qr") & _fits("p", "q")).select(F.least("p.node", "q.node").alias("u"), F.greatest("p.node", "q.node").alias("v"))
+    more = confirmed(written(pairs.distinct().join(star, ["u", "v"], "left_anti"), "rest"), "rest")
     if not more.isEmpty():
-        roots = written(components(more.union(roots.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))).union(roots.limit(0)), "roots")
+        roots = written(components(more.union(roots.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))), "roots")
     named = signed.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").join(roots, "node", "left")
     component = F.coalesce("root", "node", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
