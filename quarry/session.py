@@ -21,3 +21,12 @@ def local_session(app: str = "quarry", cores: str = "*", shuffle_partitions: int
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the testdata tables (a file or a folder of parts)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The session's spark.checkpoint.dir; a folder of our own only where none is set."""
+    import tempfile
+
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
