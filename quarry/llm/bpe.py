@@ -1,10 +1,12 @@
 """Operator 6: BPE encoding and decoding over a table of distinct words.
 
 The first pass splits texts into words and writes each document as positions in its chunk's word list (a chunk is
-a bounded run of documents of one task). Word rows then meet by word, where each distinct word is encoded once;
-its ids go back to the chunks that hold it, and the last pass joins them to the documents by position. Decoding
-looks every id up in the vocabulary's id-to-piece table, whose size is that of the vocabulary. No step holds more
-than one chunk, and a frequent word is one row for each chunk, so neither hot words nor hot sources gather anywhere.
+a bounded run of documents of one task). The lists are dealt by a hash of the word, so that all chunks' entries of
+a word meet in one task, where each distinct word is encoded once; its ids go back to the chunks that hold it, and
+the last pass joins them to the documents by position. Decoding looks every id up in the vocabulary's id-to-piece
+table, whose size is that of the vocabulary. No step holds more than one chunk, and a frequent word is one entry
+for each chunk, so neither hot words nor hot sources gather anywhere. Rows are compressed blocks of documents or
+of words, which keeps what is written and shuffled well below the size of the texts.
 
 Texts whose characters are all ASCII or Latin letters are split by fast string methods; any other character sends
 a text through the tokenizer's own normaliser and splitter, so both give what the tokenizers library gives.
@@ -18,11 +20,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +35,11 @@ from quarry.llm.common import read, text_of, written
 
 #: A chunk closes after so many words, or so many different ones.
 CHUNK_WORDS = 8_000_000
-CHUNK_DISTINCT = 300_000
+CHUNK_DISTINCT = 500_000
+#: Words of the documents that share a row.
+BLOCK_WORDS = 1 << 18
+#: Words a task that encodes remembers.
+ENCODED_WORDS = 500_000
 
 _PLAIN = re.compile("[^\t-\r -~À-ɏ]")
 #: The split pattern of word_bpe_49k, for plain texts.
@@ -79,23 +87,28 @@ class Splitter:
         return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))]
 
 
-def _planes(codes: np.ndarray) -> bytes:
-    """Little-endian bytes of 32-bit codes, by significance: small codes then compress well."""
-    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit values by significance of their bytes, compressed: small values then cost little."""
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-_CHUNKED = "chunk long, doc_id long, codes binary, code int, word string"
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _chunks(path: str):
+#: A row is a block of documents (doc_ids, sizes, codes) or the part of a chunk's words that one task encodes (codes, data).
+_BLOCK = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("data", pa.binary())])
+_BLOCK_DDL = "chunk long, part int, doc_ids array<long>, sizes array<int>, codes binary, data binary"
+
+
+def _chunks(path: str, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(path)
         task = TaskContext.get().partitionId() << 24
-        chunk, seen = 0, 0
         words: dict[str, int] = {}
 
         class Codes(dict):
@@ -118,58 +131,76 @@ def _chunks(path: str):
                     out.append([words.setdefault(w, len(words)) for w in split.other(part)])
             return np.fromiter(chain.from_iterable(out), np.uint32)
 
-        def docs(ids: list, rows: list[bytes]) -> pa.RecordBatch:
-            n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([task | chunk] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(rows, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], ["chunk", "doc_id", "codes", "code", "word"])
+        chunk, seen, held = 0, 0, 0
+        ids: list = []
+        rows: list[np.ndarray] = []
+
+        def block() -> pa.RecordBatch:
+            return _batch([(task | chunk, -1, list(ids), [len(r) for r in rows], _planes(np.concatenate(rows)), None)], _BLOCK)
 
         def listed() -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(words), 50_000):
-                part = list(words)[i : i + 50_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([task | chunk] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(i, i + n), pa.int32()), pa.array(part, pa.string())], ["chunk", "doc_id", "codes", "code", "word"])
+            """The chunk's words by the task that encodes them; where a word goes depends on the word alone."""
+            bins: list[list[str]] = [[] for _ in range(parts)]
+            at: list[list[int]] = [[] for _ in range(parts)]
+            for w, c in words.items():
+                p = zlib.crc32(w.encode()) % parts
+                bins[p].append(w)
+                at[p].append(c)
+            for p in range(parts):
+                if bins[p]:
+                    yield _batch([(task | chunk, p, None, None, _planes(np.diff(np.array(at[p]), prepend=0)), zstandard.compress("\n".join(bins[p]).encode(), 3))], _BLOCK)
 
         for batch in batches:
-            ids, rows = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = of(text)
                 ids.append(i)
-                rows.append(_planes(c))
+                rows.append(c)
                 seen += len(c)
-                if seen >= CHUNK_WORDS or len(codes) >= CHUNK_DISTINCT or len(words) >= CHUNK_DISTINCT:
-                    yield docs(ids, rows)
+                held += len(c)
+                full = seen >= CHUNK_WORDS or len(codes) >= CHUNK_DISTINCT or len(words) >= CHUNK_DISTINCT
+                if full or held >= BLOCK_WORDS or len(ids) >= BLOCK_WORDS // 64:
+                    yield block()
+                    ids, rows, held = [], [], 0
+                if full:
                     yield from listed()
                     words.clear()
                     codes.clear()
-                    ids, rows, seen, chunk = [], [], 0, chunk + 1
-            if ids:
-                yield docs(ids, rows)
-        if words:
-            yield from listed()
+                    seen, chunk = 0, chunk + 1
+        if ids:
+            yield block()
+        yield from listed()
 
     return run
 
 
 def _encode(path: str):
-    """(chunk, code, word) sorted by word to (chunk, code, ids); each distinct word is encoded once."""
+    """Parts of word lists to the same parts of id lists; a task encodes a distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        model, word, ids = tok.model, None, b""
+        model = tok.model
+
+        class Ids(dict):
+            """Ids of a word; beyond the bound a word may be encoded again, to the same ids."""
+
+            def __missing__(self, w: str) -> list[int]:
+                out = [tok.token_to_id(w[1:])] if w[0] == "\0" else [t.id for t in model.tokenize(w)]
+                if len(self) < ENCODED_WORDS:
+                    self[w] = out
+                return out
+
+        ids = Ids()
         for batch in batches:
-            out = []
-            for w in batch.column(2).to_pylist():
-                if w != word:
-                    word = w
-                    ids = np.array([tok.token_to_id(w[1:])] if w[0] == "\0" else [t.id for t in model.tokenize(w)], "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["chunk", "code", "ids"])
+            for chunk, codes, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "codes", "data")), strict=True):
+                got = list(map(ids.__getitem__, zstandard.decompress(data).decode().split("\n")))
+                sizes = np.fromiter(map(len, got), np.uint32, len(got))
+                yield _batch([(chunk, 0, None, None, codes, _planes(np.concatenate([sizes, np.fromiter(chain.from_iterable(got), np.uint32)])))], _BLOCK)
 
     return run
 
 
-
 def _joined(path: str, digest: bool):
     """Chunks, each with its words before its documents, to ids and decoded texts (or their digests)."""
 
@@ -180,26 +211,39 @@ def _joined(path: str, digest: bool):
         pieces: list[bytes] = [(tok.id_to_token(i) or "").encode() for i in range(tok.get_vocab_size())]
         now = None
         ids_of: dict[int, bytes] = {}
-        text_of_: dict[int, bytes] = {}
+        pieces_of: dict[int, bytes] = {}
+
+        def learn(codes: bytes, data: bytes) -> None:
+            at = np.cumsum(_unplanes(codes).astype(np.int64)).tolist()
+            both = _unplanes(data)
+            ends = np.cumsum(both[: len(at)].astype(np.int64)).tolist()
+            ids = both[len(at) :]
+            raw, names, start = ids.astype("<u4").tobytes(), [pieces[i] for i in ids.tolist()], 0
+            for code, end in zip(at, ends, strict=True):
+                ids_of[code] = raw[4 * start : 4 * end]
+                pieces_of[code] = names[start] if end - start == 1 else b" ".join(names[start:end])
+                start = end
+
         for batch in batches:
-            chunk, code, ids, docs, codes = (batch.column(i).to_pylist() for i in range(5))
             out: list[tuple] = []
             size = 0
-            for c, k, x, d, rows in zip(chunk, code, ids, docs, codes, strict=True):
-                if c != now:
-                    now = c
-                    ids_of, text_of_ = {}, {}
-                if rows is None:
-                    ids_of[k] = x
-                    text_of_[k] = b" ".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()])
+            for chunk, docs, sizes, codes, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "doc_ids", "sizes", "codes", "data")), strict=True):
+                if chunk != now:
+                    now = chunk
+                    ids_of, pieces_of = {}, {}
+                if docs is None:
+                    learn(codes, data)
                     continue
-                at = _unplanes(rows).tolist()
-                a, b = b"".join(map(ids_of.__getitem__, at)), b" ".join(map(text_of_.__getitem__, at))
-                out.append((d, len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) if digest else (d, len(a) // 4, a, b.decode()))
-                size += 0 if digest else len(a) + len(b)
-                if size > 1 << 25:
-                    yield _rows(out, digest)
-                    out, size = [], 0
+                at, start = _unplanes(codes).tolist(), 0
+                for d, n in zip(docs, sizes, strict=True):
+                    mine = at[start : start + n]
+                    start += n
+                    a, b = b"".join(map(ids_of.__getitem__, mine)), b" ".join(map(pieces_of.__getitem__, mine))
+                    out.append((d, len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) if digest else (d, len(a) // 4, a, b.decode()))
+                    size += 0 if digest else len(a) + len(b)
+                    if size > 1 << 25:
+                        yield _rows(out, digest)
+                        out, size = [], 0
             if out:
                 yield _rows(out, digest)
 
@@ -207,21 +251,21 @@ def _joined(path: str, digest: bool):
 
 
 def _rows(out: list[tuple], digest: bool) -> pa.RecordBatch:
-    d, n, a, b = zip(*out, strict=True)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids", "decoded"]
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string() if digest else pa.binary()), pa.array(b, pa.string())], names)
+    return _batch(out, pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.string()), strict=True))))
+
 
+def encode(docs: DataFrame, path: str | None = None, digest: bool = False, parts: int = 64) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_tokens, ids (little-endian 32-bit) and decoded text, or their digests.
 
-def encode(docs: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_tokens, ids (little-endian 32-bit) and decoded text, or their digests."""
+    parts: into how many tasks the distinct words are dealt for encoding.
+    """
     path = path or default_tokenizer()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    chunks = written(texts.mapInArrow(_chunks(path), _CHUNKED), "chunks", compression="zstd")
-    words = chunks.where("word is not null").select("chunk", "code", "word").repartition("word").sortWithinPartitions("word")
-    ids = words.mapInArrow(_encode(path), "chunk long, code int, ids binary")
-    rows = ids.select("chunk", "code", "ids", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("codes"))
-    texts = chunks.where("word is null").select("chunk", F.lit(None).cast("int").alias("code"), F.lit(None).cast("binary").alias("ids"), "doc_id", "codes")
-    met = rows.union(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("codes").isNotNull())
+    chunks = written(texts.mapInArrow(_chunks(path, parts), _BLOCK_DDL), "chunks", compression="uncompressed")
+    words = chunks.where("part >= 0").repartition("part")
+    blocks = chunks.where("part < 0").union(words.mapInArrow(_encode(path), _BLOCK_DDL))
+    met = blocks.repartition("chunk").sortWithinPartitions("chunk", F.col("doc_ids").isNotNull())
     return met.mapInArrow(_joined(path, digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, n_tokens long, ids binary, decoded string")
 
 
