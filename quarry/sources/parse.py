@@ -238,7 +238,7 @@ def python_entities(project: str, path: str, module: str, text: str) -> list[dic
         called = lambda d: d.func if isinstance(d, ast.Call) else d
         body = node.body and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Constant) and isinstance(node.body[0].value.value, str)
         rows.append(base | {
-            "seq": len(rows), "entity_id": f"{path}::{qualified}", "entity_type": kind, "name": name, "qualified_name": qualified, "parent": parent, "start_line": start, "end_line": end, "imports": list(imports.items()),
+            "seq": len(rows), "entity_id": f"{path}::{qualified}", "entity_type": kind, "name": name, "qualified_name": qualified, "parent": parent, "start_line": start, "end_line": end, "imports": imports,
             "references": sorted(f.references), "called_names": f.called, "accessed_fields": sorted(f.own) if kind in ("method", "function") else [], "attribute_roots": f.roots,
             "base_names": [t for b in node.bases if (t := _tail(origin(b)))] if kind == "class" else [], "declared_fields": sorted(_fields(node)) if kind == "class" else [],
             "decorators": [t for d in getattr(node, "decorator_list", []) if (t := _tail(called(d)))], "parameter_count": len(names), "has_self": bool(positional) and positional[0] in RECEIVERS, "has_docstring": bool(body),
@@ -266,7 +266,7 @@ def parse_python(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [r for p, path, module, text in pdf.itertuples(index=False) for r in python_entities(p, path, module, text)]
-            yield pd.DataFrame(rows, columns=_COLUMNS) if rows else pd.DataFrame(columns=_COLUMNS)
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _COLUMNS})
 
     return files.select("project", "path", "package", "text").mapInPandas(run, ENTITY_DDL)
 

@@ -39,7 +39,7 @@ def test_cyclomatic(body, cyclomatic):
         ("def f(a):\n    return f(a - 1) if a else 0", 2, 0),
         ("def f(a):\n    try:\n        g()\n    except E:\n        if a: pass", 1 + 2, 2),
         ("def f(a):\n    with a:\n        while b: pass", 1, 1),
-        ("def f(a):\n    match a:\n        case 1: pass\n        case 2:\n            if b: pass", 1 + 2, 2),
+        ("def f(a):\n    match a:\n        case 1: pass\n        case 2:\n            if b: pass", 1 + 2, 1),
     ],
 )
 def test_cognitive_and_nesting(body, cognitive, nesting):
