@@ -14,11 +14,9 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +26,6 @@ from quarry.llm.common import read, text_of
 ROW_LENGTH = 2048
 #: Ids that are packed together; bounds a worker's memory.
 RUN_IDS = 4_000_000
-CACHED_PIECES = 300_000
 
 
 class CapacityTree:
@@ -82,28 +79,17 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
 
 
 class Encoder:
-    """Byte-level BPE by ranks; every distinct piece is encoded once while the cache has room."""
+    """Byte-level BPE by ranks, with ids straight into arrays; there are no special tokens."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        self.split = regex.compile(public_tokenizers.PATTERN)
         self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        outer = self
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> list[int]:
-                ids = outer.bpe.encode_ordinary(piece)
-                if len(self) < CACHED_PIECES:
-                    self[piece] = ids
-                return ids
-
-        self.pieces = Pieces()
 
     def ids(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(text))), np.uint32)
+        return self.bpe.encode_to_numpy(text, disallowed_special=())
 
 
 def default_ranks() -> str:
