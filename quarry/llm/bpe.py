@@ -131,24 +131,35 @@ def _chunks(path: str, parts: int):
                     out.append([words.setdefault(w, len(words)) for w in split.other(part)])
             return np.fromiter(chain.from_iterable(out), np.uint32)
 
-        chunk, seen, held = 0, 0, 0
+        chunk, seen = 0, 0
         ids: list = []
         rows: list[np.ndarray] = []
 
-        def block() -> pa.RecordBatch:
-            return _batch([(task | chunk, -1, list(ids), [len(r) for r in rows], _planes(np.concatenate(rows)), None)], _BLOCK)
-
-        def listed() -> Iterator[pa.RecordBatch]:
-            """The chunk's words by the task that encodes them; where a word goes depends on the word alone."""
+        def closed() -> Iterator[pa.RecordBatch]:
+            """The chunk's documents in blocks, then its words by the task that encodes them, which depends on the word alone.
+
+            Codes are ranks by frequency: most are small then, and compress well.
+            """
+            every = np.concatenate(rows)
+            order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            every, ends = rank[every], np.cumsum([len(r) for r in rows])
+            at, first = 0, 0
+            for i in range(len(rows)):
+                if ends[i] - at >= BLOCK_WORDS or i + 1 - first >= BLOCK_WORDS // 64 or i + 1 == len(rows):
+                    yield _batch([(task | chunk, -1, ids[first : i + 1], [len(r) for r in rows[first : i + 1]], _planes(every[at : ends[i]]), None)], _BLOCK)
+                    at, first = ends[i], i + 1
+            named = list(words)
             bins: list[list[str]] = [[] for _ in range(parts)]
-            at: list[list[int]] = [[] for _ in range(parts)]
-            for w, c in words.items():
-                p = zlib.crc32(w.encode()) % parts
-                bins[p].append(w)
-                at[p].append(c)
+            codes_of: list[list[int]] = [[] for _ in range(parts)]
+            for code, i in enumerate(order.tolist()):
+                p = zlib.crc32(named[i].encode()) % parts
+                bins[p].append(named[i])
+                codes_of[p].append(code)
             for p in range(parts):
                 if bins[p]:
-                    yield _batch([(task | chunk, p, None, None, _planes(np.diff(np.array(at[p]), prepend=0)), zstandard.compress("\n".join(bins[p]).encode(), 3))], _BLOCK)
+                    yield _batch([(task | chunk, p, None, None, _planes(np.diff(np.array(codes_of[p]), prepend=0)), zstandard.compress("\n".join(bins[p]).encode(), 12))], _BLOCK)
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -156,19 +167,13 @@ def _chunks(path: str, parts: int):
                 ids.append(i)
                 rows.append(c)
                 seen += len(c)
-                held += len(c)
-                full = seen >= CHUNK_WORDS or len(codes) >= CHUNK_DISTINCT or len(words) >= CHUNK_DISTINCT
-                if full or held >= BLOCK_WORDS or len(ids) >= BLOCK_WORDS // 64:
-                    yield block()
-                    ids, rows, held = [], [], 0
-                if full:
-                    yield from listed()
+                if seen >= CHUNK_WORDS or len(codes) >= CHUNK_DISTINCT or len(words) >= CHUNK_DISTINCT:
+                    yield from closed()
                     words.clear()
                     codes.clear()
-                    seen, chunk = 0, chunk + 1
+                    ids, rows, seen, chunk = [], [], 0, chunk + 1
         if ids:
-            yield block()
-        yield from listed()
+            yield from closed()
 
     return run
 
