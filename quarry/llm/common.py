@@ -38,6 +38,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (tests) a folder of our own."""
     sc = spark.sparkContext
@@ -74,3 +84,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     out = spark.read.schema(schema).parquet(path)
     out._quarry_path = path
     return out
+
+
+#: Rows of ids (8 to 24 bytes each) that may be broadcast.
+MAX_BROADCAST = 1_000_000
+
+
+def broadcast_if_small(ids: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
+    """A written table of ids with a broadcast hint where its counted rows are few; else as it is, for a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= limit else ids

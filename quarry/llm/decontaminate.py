@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import let, read, text_of, written
+from quarry.llm.common import broadcast_if_small, fresh, let, read, text_of, written
 
 WINDOW = 8
 MIN_LITERALS = 3
@@ -84,7 +84,8 @@ def _matched(docs: DataFrame, benchmark: DataFrame, min_covered: float) -> DataF
     hits = written(windows.join(F.broadcast(wanted) if small else wanted, "h").select("doc_id", "key", "at", "item_id", "item_key", "item_at").distinct(), "hits")
     # passages: all windows of a document and an item on one diagonal; at most the item's length each
     diagonal = hits.groupBy("doc_id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("starts"))
-    held = texts.withColumnRenamed("doc_id", "_d").withColumnRenamed("key", "_k").join(hits.select("doc_id", "key").distinct(), (F.col("_k") == F.col("key")) & F.col("_d").eqNullSafe(F.col("doc_id")), "left_semi")
+    ids = broadcast_if_small(written(hits.select("doc_id", "key").distinct(), "ids"))
+    held = texts.withColumnRenamed("doc_id", "_d").withColumnRenamed("key", "_k").join(ids, (F.col("_k") == F.col("key")) & F.col("_d").eqNullSafe(F.col("doc_id")), "left_semi")
     held = held.dropDuplicates(["_d", "_k"]).select("_d", "_k", tokens(F.col("text")).alias("doc_words"))
     met = diagonal.join(held, (F.col("_k") == F.col("key")) & F.col("_d").eqNullSafe(F.col("doc_id")))
     bench = items.select(F.col("item_id").alias("_i"), F.col("item_key").alias("_ik"), "words", "canon")
@@ -106,8 +107,10 @@ def _matched(docs: DataFrame, benchmark: DataFrame, min_covered: float) -> DataF
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_covered: float = MIN_COVERED) -> DataFrame:
     """The rows of docs that hold no benchmark item, with their columns as they were."""
-    found = _matched(docs.select("doc_id", text_of().alias("text")), benchmark, min_covered).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
-    return docs.withColumn("_key", F.xxhash64(text_of())).join(found, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").drop("_key")
+    key, d, k = fresh(docs, "_key", "_d", "_k")
+    found = _matched(docs.select("doc_id", text_of().alias("text")), benchmark, min_covered).select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct()
+    found = broadcast_if_small(written(found, "found"))
+    return docs.withColumn(key, F.xxhash64(text_of())).join(found, (F.col(key) == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(d)), "left_anti").drop(key)
 
 
 def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
