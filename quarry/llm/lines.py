@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import let, read, text_of
+from quarry.llm.common import fresh, let, read, text_of
 
 WINDOW = 3
 
@@ -73,29 +73,32 @@ def covered(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "key").agg(_merged(F.array_sort(F.collect_set(F.struct("first", "last")))).alias("spans"))
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
-    """docs with _key, _spans, and _lines, matched by doc_id and text."""
-    spans = covered(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
-    marked = docs.withColumn("_key", F.xxhash64("text"))
-    return marked.join(spans, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the spans to remove in a new column, matched by doc_id and text; the column's name."""
+    i, k, key, name = fresh(docs, "_id", "_k", "_key", "_spans")
+    spans = covered(docs).select(F.col("doc_id").alias(i), F.col("key").alias(k), F.col("spans").alias(name))
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    return marked.join(spans, (F.col(key) == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(i)), "left"), name
 
 
-def _text_left() -> Column:
-    return F.when(F.col("_spans").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), lambda x: F.array_join(_without(x, F.col("_spans")), "\n")))
+def _text_left(spans: str) -> Column:
+    return F.when(F.col(spans).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), lambda x: F.array_join(_without(x, F.col(spans)), "\n")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_removed and the text that is left."""
-    gone = F.aggregate(F.coalesce("_spans", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0).cast("bigint"), lambda s, x: s + (x["last"] - x["first"] + 1))
-    n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint")
-    return _cleaned(docs.select("doc_id", "text")).select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).alias("n_lines"), gone.alias("n_removed"), _text_left().alias("text"))
+    marked, spans = _cleaned(docs.select("doc_id", "text"))
+    gone = F.aggregate(F.coalesce(spans, F.array().cast("array<struct<first:int,last:int>>")), F.lit(0).cast("bigint"), lambda s, x: s + (x["last"] - x["first"] + 1))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
+    return marked.select("doc_id", n.alias("n_lines"), gone.alias("n_removed"), _text_left(spans).alias("text"))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines gone from text, and n_chars (where there is one) the new length; no row goes."""
-    out = _cleaned(docs).withColumn("text", _text_left())
+    out, spans = _cleaned(docs)
+    out = out.withColumn("text", _text_left(spans))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read, text_of, written
+from quarry.llm.common import broadcast_if_small, fresh, read, text_of, written
 from quarry.llm.components import components
 
 SHINGLE = 5
@@ -35,8 +35,6 @@ SIGNATURE_BITS = 4
 LEAST_EQUAL = 76
 #: Bits of a set's bitmap. Bits that differ are at most as many as members that differ, so this test loses nothing.
 BITMAP = 1024
-#: Ids up to this number are broadcast (8 bytes each); more are joined by shuffle.
-MAX_BROADCAST = 1_000_000
 CACHED_WORDS = 300_000
 #: Shingles hashed at once; bounds a worker's memory.
 BLOCK = 1 << 16
@@ -177,7 +175,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def confirmed(near: DataFrame, name: str) -> DataFrame:
         wanted = written(near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct(), f"wanted-{name}")
-        few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+        few = broadcast_if_small(wanted)
         sets = written(texts.withColumnRenamed("doc_id", "node").join(few, "node", "left_semi").mapInArrow(_sets, "node long, items binary"), f"sets-{name}")
         full = near.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
         return written(full.mapInArrow(_linked, "u long, v long").distinct(), f"links-{name}")
@@ -205,8 +203,9 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
 
     Repeated rows of a kept document all stay: they are one document.
     """
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = broadcast_if_small(written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone"))
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

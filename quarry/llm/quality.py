@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, let, read, text_of, words_of, written
+from quarry.llm.common import SPACE, broadcast_if_small, fresh, let, read, text_of, words_of, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -186,9 +186,11 @@ def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Verdicts are joined back by doc_id; a doc_id that repeats with different texts keeps each row by its own text.
     """
-    marked = docs.withColumn("_key", F.xxhash64("text"))
-    verdicts = quality(marked.select("doc_id", "_key", "text"), threshold, keep=("_key",)).where("kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct()
-    return marked.join(verdicts, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("_key")
+    key, i, k = fresh(docs, "_key", "_id", "_k")
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    judged = quality(marked.select("doc_id", F.col(key).alias("_key"), "text"), threshold, keep=("_key",))
+    gone = broadcast_if_small(written(judged.where("not kept").select(F.col("doc_id").alias(i), F.col("_key").alias(k)).distinct(), "rejected"))
+    return marked.join(gone, (F.col(key) == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(i)), "left_anti").drop(key)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from quarry.llm import bpe, chaining, chat, decontaminate, lines, minhash, packi
 from quarry.llm.components import components
 
 WORDS = "the of and tion over blue stone river walks under seven green tall house runs fast slow cold warm light".split()
-SCHEMA = "doc_id long, text string, lang string, key string, n long"
+SCHEMA = "doc_id long, text string, lang string, key string, _key long, _spans string, kept string, n_chars int"
 
 
 def prose(rng, n):
@@ -36,7 +36,7 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, "en", "clash", 1) for i, t in corpus()], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, "en", "clash", 1, "x", "y", 5) for i, t in corpus()], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -175,6 +175,12 @@ def test_lines_match_brute_force(spark):
     assert got == deduped(rows)
 
 
+@pytest.mark.parametrize("stage", [quality.filter_documents, lines.clean_documents, minhash.drop_duplicates])
+def test_stages_carry_columns_of_any_name(docs, stage):
+    out = stage(docs)
+    assert out.columns == docs.columns and out.where("_key <> 1 or _spans <> 'x' or kept <> 'y'").count() == 0 and out.count() > 0
+
+
 def test_lines_keep_columns_and_repeated_rows(docs):
     out = lines.clean_documents(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
