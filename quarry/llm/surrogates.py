@@ -4,7 +4,9 @@ Entities are found by patterns. Each distinct entity (in a normal form, so that
 one entity) gets a surrogate drawn from a keyed hash: characters keep their class, cards their check digit, e-mail
 addresses their top-level domain, names their title, gender, script and number of words. Surrogates that meet another
 entity's, or a real entity, are drawn again until none does, so distinct entities stay distinct and equal ones equal
-across the whole corpus.
+across the whole corpus. Names grow by a syllable with each attempt, so theirs never run out; e-mail addresses and
+secrets grow after FIXED_LENGTH attempts. Numbers keep their length: where a format holds too few values for its
+entities, the run fails after MAX_ATTEMPTS and says so. A secret has a letter or digit.
 
 Defined results: a null text stays null and an empty one empty, with no entities; repeated rows get the same text;
 rows without doc_id are rewritten like others; an empty table gives an empty table; extra columns are ignored.
@@ -27,7 +29,7 @@ _NAME = r"\p{Lu}\p{Ll}+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"(?=A[KS]IA)(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=[=: \"'])(?=[A-Za-z0-9+/_-]{8})(?<=(?i:token|password|passwd|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?<=[=: \"'])(?=[A-Za-z0-9+/_-]{8})(?=[+/_-]*[A-Za-z0-9])(?<=(?i:token|password|passwd|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
     "ip": r"(?=[0-9]{1,3}\.)(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?=[0-9+(])(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "ssn": r"(?=[0-9]{3}-)(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -40,6 +42,9 @@ ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Syllables of surrogate names by script, and their endings by gender.
 SYLLABLES = {"latin": ("ba", "ren", "lo", "mi", "ta", "vel", "sor", "ki", "dan", "re", "nu", "sa", "te", "mar", "li", "on"), "cyrillic": ("ба", "рен", "ло", "ми", "та", "вел", "сор", "ки", "дан", "ре", "ну", "са", "те", "мар", "ли", "он")}
 ENDINGS = {("latin", "male"): "no", ("latin", "female"): "ra", ("cyrillic", "male"): "нов", ("cyrillic", "female"): "рина"}
+#: Attempts before e-mail addresses and secrets become longer, and attempts in all.
+FIXED_LENGTH = 8
+MAX_ATTEMPTS = 40
 
 
 def _kind(e: Column) -> Column:
@@ -75,9 +80,9 @@ def _numbers(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.ascii(c) - 48)
 
 
-def _drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a normal form at an attempt, in the same form."""
-    seed = F.concat_ws("\n", F.lit(key), kind, norm, attempt.cast("string"))
+def _drawn(kind: Column, norm: Column, attempt: int, key: str) -> Column:
+    """The surrogate of a normal form at an attempt, in the same form; names, and later e-mails and secrets, grow with the attempts."""
+    seed = F.concat_ws("\n", F.lit(key), kind, norm, F.lit(str(attempt)))
 
     def from_stream(stream: Column) -> Column:
         value = lambda i: F.conv(F.substr(stream, (i * 2) % 256 + 1, F.lit(2)), 16, 10).cast("int")
@@ -88,6 +93,7 @@ def _drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         def one(c: Column, i: Column) -> Column:
             return F.when((i < fixed) | (i >= last), c).when((c >= "0") & (c <= "9"), (value(i) % 10).cast("string")).when((c >= "a") & (c <= "z"), F.char(97 + value(i) % letters)).when((c >= "A") & (c <= "Z"), F.char(65 + value(i) % letters)).otherwise(c)
 
+        more = F.concat(F.lit(""), *[F.char(97 + value(F.lit(100 + j)) % 26) for j in range(min(20, max(0, attempt - FIXED_LENGTH)))])
         plain = F.array_join(F.transform(F.split(norm, ""), one), "")
         octets = F.array_join(F.transform(F.split(norm, r"\."), lambda _, i: (value(i) % 254 + 1).cast("string")), ".")
         checked = let(_numbers(plain), lambda d: F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), ((_last(d) + 10 - _luhn(d)) % 10).cast("string")))
@@ -95,14 +101,14 @@ def _drawn(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
         def name(script: str, gender: str) -> Column:
             parts = F.array(*map(F.lit, SYLLABLES[script]))
-            syllable = lambda w, j: F.get(parts, value(w * 3 + j) % len(SYLLABLES[script]))
+            syllables = lambda w: [F.get(parts, value(w * (3 + attempt) + j) % len(SYLLABLES[script])) for j in range(3 + attempt)]
             words = F.split(F.substring_index(norm, ":", -1), " ")
-            made = F.transform(words, lambda _, w: F.initcap(F.concat(syllable(w, 0), syllable(w, 1), syllable(w, 2), F.lit(ENDINGS[script, gender]))))
+            made = F.transform(words, lambda _, w: F.initcap(F.concat(*syllables(w), F.lit(ENDINGS[script, gender]))))
             return F.concat(F.lit(gender + ":"), F.array_join(made, " "))
 
         cyrillic, male = norm.rlike(r"\p{IsCyrillic}"), norm.startswith("male:")
         person = F.when(cyrillic & male, name("cyrillic", "male")).when(cyrillic, name("cyrillic", "female")).when(male, name("latin", "male")).otherwise(name("latin", "female"))
-        return F.when(kind == "person", person).when(kind == "ip", octets).when(kind == "card", card).otherwise(plain)
+        return F.when(kind == "person", person).when(kind == "ip", octets).when(kind == "card", card).when(kind.isin("email", "secret"), F.concat(more, plain)).otherwise(plain)
 
     stream = F.concat(F.sha2(F.concat(seed, F.lit("\n0")), 512), F.sha2(F.concat(seed, F.lit("\n1")), 512), F.lit("00"))
     return let(stream, from_stream)
@@ -130,7 +136,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     real = written(entities.select("kind", "norm").distinct(), "entities")
     attempt, todo, done = 0, real, None
     while True:
-        drawn = todo.withColumn("drawn", _drawn(F.col("kind"), F.col("norm"), F.lit(attempt), key))
+        drawn = todo.withColumn("drawn", _drawn(F.col("kind"), F.col("norm"), attempt, key))
         known = drawn if done is None else done.union(drawn)
         owner = known.groupBy("kind", "drawn").agg(F.min("norm").alias("owner"))
         taken = real.select("kind", F.col("norm").alias("drawn"), F.lit(True).alias("taken"))
@@ -139,6 +145,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
         if todo.isEmpty():
             return done
+        if attempt == MAX_ATTEMPTS:
+            raise ValueError(f"no free surrogates for {todo.count()} entities of kinds {[r.kind for r in todo.select('kind').distinct().collect()]}: their formats hold too few values")
 
 
 def pseudonymise(docs: DataFrame, key: str = "quarry") -> DataFrame:

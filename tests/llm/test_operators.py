@@ -381,6 +381,15 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.text for r in got}) == 600 and not real & {r.text for r in got}
 
 
+def test_surrogates_never_run_out(spark):
+    name = lambda i: "Q" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"Mr {name(i)}") for i in range(5000)] + [(6000 + i, f"x@{chr(97 + i)}.de") for i in range(26)] + [(7000, "password: ________")]
+    rows += [(8000 + i, f"password: -------{i}") for i in range(10)]
+    got = {r.doc_id: r.text for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({got[i] for i in range(5000)}) == 5000 and got[7000] == rows[5026][1]
+    assert len(set(got.values())) == len(rows) and not {t for i, t in rows if i != 7000} & set(got.values())
+
+
 def test_channel_restores():
     words = {"stupid": 50, "moron": 40, "trash": 60, "clown": 30, "idiot": 45, "house": 90, "river": 70, "stone": 80}
     grams: collections.Counter = collections.Counter()
