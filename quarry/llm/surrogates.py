@@ -149,6 +149,33 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             raise ValueError(f"no free surrogates for {todo.count()} entities of kinds {[r.kind for r in todo.select('kind').distinct().collect()]}: their formats hold too few values")
 
 
+def _parts(norm: Column) -> Column:
+    """The parts of a person's normal form, each with the gender."""
+    return F.transform(F.split(F.substring_index(norm, ":", -1), " "), lambda w: F.concat(F.substring_index(norm, ":", 1), F.lit(":"), w))
+
+
+def _mentions(norm: Column, drawn: Column) -> Column:
+    """(real, fake) of the words by which a text may mention a person again: the surname alone, and each word of the whole name."""
+    real, fake = (F.split(F.substring_index(c, ":", -1), " ") for c in (norm, drawn))
+    pair = lambda a, b: F.struct(a.alias("real"), b.alias("fake"))
+    name = F.array_join(real, " ")
+    alone = pair(_last(real), _last(fake))
+    return F.when(F.size(real) == 1, F.array(alone)).otherwise(F.array(alone, pair(F.concat(F.lit("1 "), name), fake[0]), pair(F.concat(F.lit("2 "), name), _last(fake))))
+
+
+def _renamed(piece: Column) -> Column:
+    """The piece with the document's names replaced where they stand without a title, and the number of mentions."""
+
+    def of(t: Column) -> Column:
+        fake = lambda k: F.get(F.col("values"), F.array_position("keys", k).cast("int") - 1)
+        joined = lambda i: F.concat(F.get(t, i), F.lit(" "), F.when(F.get(t, i + 1) == " ", F.get(t, i + 2)))
+        surname = lambda x, i: F.coalesce(fake(F.concat(F.lit("2 "), joined(i - 2))), fake(x))
+        words = F.transform(t, lambda x, i: F.when(x.rlike(r"^\p{Lu}"), F.struct(F.coalesce(fake(F.concat(F.lit("1 "), joined(i))), surname(x, i), x).alias("text"), F.when(surname(x, i).isNotNull(), 1).otherwise(0).alias("n"))).otherwise(F.struct(x.alias("text"), F.lit(0).alias("n"))))
+        return let(words, lambda w: F.struct(F.array_join(F.transform(w, lambda x: x["text"]), "").alias("text"), F.aggregate(w, F.lit(0), lambda a, x: a + x["n"]).alias("n")))
+
+    return let(F.split(piece, r"(?<=[\p{L}\p{M}])(?![\p{L}\p{M}])|(?<![\p{L}\p{M}])(?=[\p{L}\p{M}])"), of)
+
+
 def pseudonymise(docs: DataFrame, key: str = "quarry") -> DataFrame:
     """Per row of docs: doc_id, n_entities, kinds (sorted, distinct) and the text with surrogates for entities."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
@@ -156,14 +183,27 @@ def pseudonymise(docs: DataFrame, key: str = "quarry") -> DataFrame:
     # outer: else the optimiser searches each text again to filter on the number of matches
     hits = texts.select("doc_id", "key", F.posexplode_outer(found).alias("at", "surface")).where("surface is not null").dropDuplicates(["doc_id", "key", "at"])
     hits = written(hits.withColumn("kind", _kind(F.col("surface"))).withColumn("norm", _normal(F.col("kind"), F.col("surface"))), "hits")
-    drawn = surrogates(hits, key)
-    named = hits.join(drawn, ["kind", "norm"]).select("doc_id", "key", F.struct("at", _written_as(F.col("kind"), F.col("surface"), F.col("drawn")).alias("text"), "kind").alias("e"))
+    # a person's name is drawn part by part, so that mentions with one surname agree
+    parts = F.when(F.col("kind") == "person", _parts(F.col("norm"))).otherwise(F.array("norm"))
+    hits = hits.withColumn("first", parts[0]).withColumn("second", F.get(parts, F.lit(1)))
+    drawn = surrogates(hits.select("kind", F.explode(parts).alias("norm")), key)
+    second = drawn.select(F.col("kind").alias("_kind"), F.col("norm").alias("second"), F.substring_index("drawn", ":", -1).alias("drawn2"))
+    met = hits.join(drawn.withColumnRenamed("norm", "first"), ["kind", "first"])
+    one, two = (met.where(c) for c in ("second is null", "second is not null"))
+    met = one.withColumn("drawn2", F.lit(None).cast("string")).unionByName(two.join(second, (F.col("kind") == F.col("_kind")) & (two["second"] == second["second"])).drop("_kind").drop(second["second"]))
+    whole = F.concat_ws(" ", "drawn", "drawn2")
+    named = met.select("doc_id", "key", F.struct("at", _written_as(F.col("kind"), F.col("surface"), whole).alias("text"), "kind", F.when(F.col("kind") == "person", _mentions(F.col("norm"), whole)).otherwise(F.expr("cast(array() as array<struct<real: string, fake: string>>)")).alias("names")).alias("e"))
     # bounded by the document: its own entities, in order
     per_doc = named.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("e")).alias("es")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "es")
     met = texts.join(per_doc, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     pieces = F.split("text", ENTITY, -1)
-    woven = let(pieces, lambda p: F.array_join(F.transform(p, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("es"), i)["text"], F.lit("")))), ""))
-    return met.select("doc_id", F.coalesce(F.size("es"), F.lit(0)).cast("bigint").alias("n_entities"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("es", lambda e: e["kind"]))), ","), F.lit("")).alias("kinds"), F.when(F.col("es").isNull(), F.col("text")).otherwise(woven).alias("text"))
+    names = F.flatten(F.transform("es", lambda e: e["names"]))
+    met = met.withColumn("keys", F.transform(names, lambda n: n["real"])).withColumn("values", F.transform(names, lambda n: n["fake"]))
+    rest = F.when(F.size("keys") > 0, F.transform(pieces, _renamed)).otherwise(F.transform(pieces, lambda x: F.struct(x.alias("text"), F.lit(0).alias("n"))))
+    met = met.withColumn("rest", F.when(F.col("es").isNotNull(), rest))
+    woven = F.array_join(F.transform("rest", lambda x, i: F.concat(x["text"], F.coalesce(F.get(F.col("es"), i)["text"], F.lit("")))), "")
+    untitled = F.aggregate("rest", F.lit(0), lambda a, x: a + x["n"])
+    return met.select("doc_id", F.coalesce(F.size("es") + untitled, F.lit(0)).cast("bigint").alias("n_entities"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("es", lambda e: e["kind"]))), ","), F.lit("")).alias("kinds"), F.when(F.col("es").isNull(), F.col("text")).otherwise(woven).alias("text"))
 
 
 def _literal(text: str) -> str:

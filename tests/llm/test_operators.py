@@ -390,6 +390,14 @@ def test_surrogates_never_run_out(spark):
     assert len(set(got.values())) == len(rows) and not {t for i, t in rows if i != 7000} & set(got.values())
 
 
+def test_untitled_mentions_of_a_name(spark):
+    rows = [(1, "Smith came. Mr John Smith spoke; John Smith said so, Smiths too. Mr Smith left, and Smith's hat."), (2, "Mr Smith and Herr Weber"), (3, "John Smith without a title")]
+    got = {r.doc_id: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    john, smith = re.search(r"Mr (\S+) (\S+) spoke", got[1].text).groups()
+    assert got[1].text == f"{smith} came. Mr {john} {smith} spoke; {john} {smith} said so, Smiths too. Mr {smith} left, and {smith}'s hat." and got[1].n_entities == 5
+    assert got[2].text.startswith(f"Mr {smith} and Herr ") and got[2].n_entities == 2 and got[3].text == rows[2][1]
+
+
 def test_channel_restores():
     words = {"stupid": 50, "moron": 40, "trash": 60, "clown": 30, "idiot": 45, "house": 90, "river": 70, "stone": 80}
     grams: collections.Counter = collections.Counter()
