@@ -35,12 +35,14 @@ MIN_LOG_ODDS = 1.5
 BEGINNINGS = (4, 5, 6, 7)
 CACHED_TOKENS = 400_000
 BEAM = 24
+#: Longer tokens are decoded in pieces of so many characters.
+PIECE = 40
 READINGS = 3
 
 #: What a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = ".-_*~'·,/\\:"
-COST = {"leet": 1.0, "separator": 0.5, "repeat": 0.7, "drop": 9.0}
+COST = {"leet": 1.0, "separator": 0.5, "repeat": 0.7, "drop": 9.0, "break": 0.5}
 
 _LETTER = re.compile("[a-zß-öø-ž]")
 _EDGES = re.compile(r"^[^\w$@!|+(€£]+|[^\w$@|€£]+$")
@@ -76,8 +78,8 @@ class CharModel:
             self.seen[key] = got
         return got
 
-    def readings(self, token: str) -> list[str]:
-        """The best readings of a token's lattice, best first."""
+    def readings(self, token: str, breaks: bool = False) -> list[str]:
+        """The best readings of a token's lattice, best first; with breaks, of words with blanks between them."""
         beam: dict[tuple[str, str], list[tuple[float, str]]] = {("^", "^"): [(0.0, "")]}
         last = ""
         for ch in token:
@@ -96,6 +98,9 @@ class CharModel:
                 for c, cost in arcs:
                     state, step = ((b, c), cost + self.cost(a, b, c)) if c else ((a, b), cost)
                     after.setdefault(state, []).extend((s + step, out + c) for s, out in paths)
+                    if breaks and c and b != "^":  # a word ends before this character
+                        end = self.cost(a, b, "$") + COST["break"] + cost + self.cost("^", "^", c)
+                        after.setdefault(("^", c), []).extend((s + end, out + " " + c) for s, out in paths)
             ranked = sorted(((min(v)[0], k) for k, v in after.items()))[:BEAM]
             beam = {k: sorted(set(after[k]))[:READINGS] for _, k in ranked}
             last = ch
@@ -110,15 +115,35 @@ def core(token: str) -> str:
 
 def forms(token: str, model: CharModel) -> list[str]:
     """A token as written and, where it looks disguised, as the channel restores it."""
+    if token[:1] == " ":
+        return list(dict.fromkeys(w for p in pieces(token[1:]) for w in [*forms(p, model), *segments(p, model)]))
     c = core(token)
     if not c:
         return []
     plain = c.strip("$@|€£!+(")
-    if len(c) > 40 or not _LETTER.search(c) or not _DISGUISED.search(c):
+    if len(c) > PIECE and _LETTER.search(c) and _DISGUISED.search(c):
+        return list(dict.fromkeys([*([plain] if plain else []), *(w for p in pieces(c) for w in segments(p, model))]))
+    if len(c) > PIECE or not _LETTER.search(c) or not _DISGUISED.search(c):
         return [plain] if plain else []
     return list(dict.fromkeys([plain, *model.readings(c)]))
 
 
+def pieces(run: str) -> list[str]:
+    """A run in pieces of PIECE characters that overlap by half."""
+    return [run[i : i + PIECE] for i in range(0, max(1, len(run) - PIECE // 2), PIECE // 2)]
+
+
+def segments(run: str, model: CharModel) -> list[str]:
+    """The words of a run set apart, and the run without a one-letter word at either end."""
+    return [*(w for r in model.readings(run, True) for w in r.split()), *(w for w in (run[1:], run[:-1]) if len(w) > 2)]
+
+
+def undoubled(word: str) -> list[str]:
+    """A word with each doubled letter written once, and with all of them."""
+    at = [i for i in range(1, len(word)) if word[i] == word[i - 1]]
+    return list(dict.fromkeys([*(word[:i] + word[i + 1 :] for i in at), re.sub(r"(.)\1", r"\1", word)])) if at else []
+
+
 def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
@@ -130,7 +155,7 @@ def spaced(text: str) -> list[str]:
 
 def tokens(text: str) -> set[str]:
     low = text.lower()
-    return {*low.split(), *spaced(low)}
+    return {*low.split(), *(f" {run}" for run in spaced(low))}
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +215,8 @@ def _evidence(grams: dict[str, int], lexicon: dict[str, float]):
         if got is None:
             ws = forms(token, model) if token[:4] in beginnings or not token.isalpha() or _DISGUISED.search(token) else ()
             got = max((lexicon.get(f, 0.0) for w in ws for f in features(w)), default=0.0)
+            if not got and token.isalpha():  # unknown as written
+                got = max((lexicon.get(f, 0.0) for w in undoubled(token) for f in features(w)), default=0.0)
             if len(known) < CACHED_TOKENS:
                 known[token] = got
         return got

@@ -412,6 +412,17 @@ def test_channel_restores():
     assert toxicity.spaced("you m o r o n there") == ["moron"] and toxicity.forms("house", m) == ["house"]
 
 
+def test_evidence_of_runs_and_doubled_letters():
+    grams: collections.Counter = collections.Counter()
+    for w, n in {"stupid": 50, "idiot": 45, "house": 90, "such": 80, "a": 300, "man": 70, "you": 200, "are": 150, "the": 400, "really": 60}.items():
+        for i in range(len(w) + 1):
+            grams[f"^^{w}$"[i : i + 3]] += n
+    of = toxicity._evidence(dict(grams), {"stupid": 3.0, "idiot": 2.0})
+    for text in ("such a s t u p i d man", "stuupid", " ".join("youarereallyreallythestupidmanyouareyouarereally"), "s.t.u.p.i.d." * 5):
+        assert of(text)[0] == 3.0, text
+    assert of("y o u i d i o t")[0] == 2.0 and of("you are a really t h e m a n")[0] == 0.0
+
+
 def test_toxicity_learns_and_hides_labels(spark):
     rng = random.Random(8)
     rows, labels = [], []
