@@ -6,9 +6,11 @@ Matches on one diagonal form a passage; its literal tokens must be equal, and it
 or by a one-to-one renaming (a re-parameterised question). A document is contaminated by an item when consistent
 passages cover at least half of the item's tokens.
 
-Defined results: null and empty texts, and texts of fewer than eight tokens, match nothing; benchmark items
-of fewer than eight tokens, and windows of fewer than three literal tokens, are too short to tell from chance and
-are not searched; repeated rows are found each; rows without doc_id are searched like others; empty tables give
+Benchmark items of fewer than eight tokens, and windows of fewer than three literal tokens, say too little as
+templates: they are joined by their words as written.
+
+Defined results: null and empty texts match nothing; benchmark items of fewer than eight tokens and MIN_BYTES bytes
+are too short to tell from chance and are not searched; repeated rows are found each; rows without doc_id are searched like others; empty tables give
 an empty result; extra columns are ignored (contaminated) or carried through (drop_contaminated).
 """
 
@@ -22,6 +24,8 @@ from quarry.llm.common import broadcast_if_small, fresh, let, read, text_of, wri
 WINDOW = 8
 MIN_LITERALS = 3
 MIN_COVERED = 0.5
+#: Items of fewer than WINDOW tokens are searched from so many bytes of tokens on.
+MIN_BYTES = 12
 #: Slots filled alike that make a passage consistent without a renaming.
 MIN_SAME_SLOTS = 0.75
 #: Benchmark windows up to this number are broadcast (24 bytes each); more are joined by shuffle.
@@ -61,6 +65,21 @@ def _windows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.posexplode_outer(f"h{WINDOW}").alias("at", "h")).where("h is not null")
 
 
+def _exact(texts: DataFrame, items: DataFrame, low: DataFrame) -> DataFrame | None:
+    """Hits of whole short items, and of the windows of few literals (low), by their words as written."""
+    short = items.where((F.size("words") < WINDOW) & (F.octet_length(F.array_join("words", "")) >= MIN_BYTES)).select("item_id", "item_key", F.lit(0).alias("item_at"), F.size("words").alias("width"), F.xxhash64("words").alias("h"))
+    wanted = written(short.union(low.select("item_id", "item_key", F.col("at").alias("item_at"), F.lit(WINDOW).alias("width"), F.xxhash64(F.slice("words", F.col("at") + 1, F.lit(WINDOW))).alias("h"))), "exact")
+    widths = sorted(r["width"] for r in wanted.select("width").distinct().collect())
+    if not widths:
+        return None
+    places = lambda n: F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
+    run = lambda n: lambda i: F.struct(F.lit(n).alias("width"), i.alias("at"), F.xxhash64(F.slice("words", i + 1, F.lit(n))).alias("h"))
+    runs = F.flatten(F.array(*[F.transform(places(n), run(n)) for n in widths]))
+    windows = texts.select("doc_id", "key", tokens(F.col("text")).alias("words")).select("doc_id", "key", F.explode_outer(runs).alias("r")).where("r is not null").select("doc_id", "key", "r.*")
+    small = wanted.count() <= MAX_BROADCAST
+    return windows.join(F.broadcast(wanted) if small else wanted, ["width", "h"]).select("doc_id", "key", "at", "item_id", "item_key", "item_at")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_covered: float = MIN_COVERED) -> DataFrame:
     """(doc_id, item_id, n_covered, n_tokens, n_slots, reparameterised) for every document that holds an item.
 
@@ -75,13 +94,15 @@ def _matched(docs: DataFrame, benchmark: DataFrame, min_covered: float) -> DataF
     split = lambda df, *keys: df.select(*keys, tokens(text_of()).alias("words")).select(*keys, "words", let(F.col("words"), canonical).alias("canon"))
     items = written(split(benchmark.dropDuplicates(["item_id", "text"]).withColumn("item_key", F.xxhash64("text")), "item_id", "item_key"), "items")
     literal = lambda x: ~x.isin("#", "@", "~")
-    enough = items.select("item_id", "item_key", "canon", F.transform("canon", lambda x: F.when(literal(x), 1).otherwise(0)).alias("lit"))
-    places = enough.select("item_id", "item_key", F.posexplode(F.transform("lit", lambda x, i: F.aggregate(F.slice("lit", i + 1, WINDOW), F.lit(0), lambda s, y: s + y))).alias("at", "n_lit"))
+    enough = items.select("item_id", "item_key", "words", "canon", F.transform("canon", lambda x: F.when(literal(x), 1).otherwise(0)).alias("lit"))
+    places = enough.select("item_id", "item_key", "words", F.posexplode(F.transform("lit", lambda x, i: F.aggregate(F.slice("lit", i + 1, WINDOW), F.lit(0), lambda s, y: s + y))).alias("at", "n_lit"))
     wanted = written(_windows(items.select("item_id", "item_key", "canon"), ["item_id", "item_key"]).join(places.where(f"n_lit >= {MIN_LITERALS}"), ["item_id", "item_key", "at"], "left_semi").withColumnRenamed("at", "item_at"), "windows")
     texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     windows = _windows(split(texts, "doc_id", "key").select("doc_id", "key", "canon"), ["doc_id", "key"])
     small = wanted.count() <= MAX_BROADCAST
-    hits = written(windows.join(F.broadcast(wanted) if small else wanted, "h").select("doc_id", "key", "at", "item_id", "item_key", "item_at").distinct(), "hits")
+    hits = windows.join(F.broadcast(wanted) if small else wanted, "h").select("doc_id", "key", "at", "item_id", "item_key", "item_at")
+    exact = _exact(texts, items, places.where(f"n_lit < {MIN_LITERALS}").where(F.col("at") + WINDOW <= F.size("words")))
+    hits = written((hits if exact is None else hits.union(exact)).distinct(), "hits")
     # passages: all windows of a document and an item on one diagonal; at most the item's length each
     diagonal = hits.groupBy("doc_id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("starts"))
     ids = broadcast_if_small(written(hits.select("doc_id", "key").distinct(), "ids"))
@@ -90,7 +111,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, min_covered: float) -> DataF
     met = diagonal.join(held, (F.col("_k") == F.col("key")) & F.col("_d").eqNullSafe(F.col("doc_id")))
     bench = items.select(F.col("item_id").alias("_i"), F.col("item_key").alias("_ik"), "words", "canon")
     met = met.join(bench, (F.col("_ik") == F.col("item_key")) & F.col("_i").eqNullSafe(F.col("item_id")))
-    span = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + WINDOW - 1)))))
+    span = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.least(F.lit(WINDOW), F.size("words")) - 1)))))
     pairs = F.transform("span", lambda p: F.struct(p.alias("p"), F.get("canon", p).alias("c"), F.get("words", p).alias("x"), F.get("doc_words", p + F.col("shift")).alias("y")))
     met = met.withColumn("span", span).withColumn("pairs", pairs)
     slots = F.filter("pairs", lambda s: s["c"].isin("#", "@", "~"))

@@ -209,6 +209,15 @@ def test_contamination(spark, docs):
     assert left.columns == ["doc_id", "text"] and not {800, 801, 803} & {r.doc_id for r in left.collect()} and left.count() >= docs.count()
 
 
+def test_short_and_literal_poor_items(spark):
+    texts = ["Who wrote the play Hamlet?", "What is 12 times 34?", "ANNA BOB CARL DORA EMIL FRED GINA HANS IDA", "谁写了哈姆雷特这部戏剧", "Yes"]
+    docs = [(i, f"some words before. {t} and some words after") for i, t in enumerate(texts)] + [(9, "Who wrote the play Faust? What is 12 times 35? ANNA BOB CARL DORA EMIL FRED GINA PAUL IDA")]
+    docs[3] = (3, f"前言。{texts[3]}。后记")
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i) for i in range(4)}
+
+
 def test_inconsistent_slots_are_no_copy(spark):
     item = [(1, "Tell how Anna met Anna again while Anna walked with Anna along Anna beach until Anna slept")]
     doc = [(1, "Tell how Bob met Eve again while Tom walked with Ida along Kim beach until Max slept")]
