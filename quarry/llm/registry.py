@@ -23,7 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
-    "op1_toxicity": toxicity.op1_toxicity,
     "op4_line_windows": lines.ORACLE,
     "op7_chat": chat.ORACLE,
 }

@@ -218,6 +218,12 @@ def test_short_and_literal_poor_items(spark):
     assert got == {(i, i) for i in range(4)}
 
 
+def test_oracles_are_sql():
+    from quarry.llm import registry
+
+    assert registry.oracle_sql() and all(isinstance(q, str) for q in registry.oracle_sql().values())
+
+
 def test_inconsistent_slots_are_no_copy(spark):
     item = [(1, "Tell how Anna met Anna again while Anna walked with Anna along Anna beach until Anna slept")]
     doc = [(1, "Tell how Bob met Eve again while Tom walked with Ida along Kim beach until Max slept")]
