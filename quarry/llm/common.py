@@ -93,3 +93,25 @@ MAX_BROADCAST = 1_000_000
 def broadcast_if_small(ids: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
     """A written table of ids with a broadcast hint where its counted rows are few; else as it is, for a shuffled join."""
     return F.broadcast(ids) if ids.count() <= limit else ids
+
+
+#: Groups of rows that are broadcast for their size: at most so many (some 50 bytes each).
+MAX_LARGE = 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
+    """rows left-joined on a binary key with groups, one row for each key, whose column n counts the rows of the key.
+
+    Groups of more than one MAX_LARGE-th of all rows can be MAX_LARGE at most and are met by broadcast, so no key of the
+    shuffled join has more rows than that; rows that were met already, or have no key, are dealt evenly.
+    """
+    bound = max(1000, (groups.agg(F.sum(n)).first()[0] or 0) // MAX_LARGE)
+    values = [c for c in groups.columns if c not in (key, n)]
+    renamed = [F.col(c).alias(f"_l_{c}") for c in values]
+    large = F.broadcast(groups.where(F.col(n) > bound).select(F.col(key).alias("_l_key"), *renamed, F.lit(True).alias("_l")))
+    small = groups.where(F.col(n) <= bound).select(F.col(key).alias("_s_key"), *values)
+    met = rows.join(large, F.col(key) == F.col("_l_key"), "left").withColumn("_at", F.monotonically_increasing_id())
+    alone = F.encode(F.concat(F.lit("#"), F.col("_at").cast("string")), "UTF-8")
+    met = met.withColumn("_at", F.when(F.col("_l").isNull(), F.coalesce(F.col(key), alone)).otherwise(alone))
+    out = met.join(small, F.col("_at") == F.col("_s_key"), "left")
+    return out.select(*[met[c] for c in rows.columns], *[F.coalesce(f"_l_{c}", c).alias(c) for c in values])

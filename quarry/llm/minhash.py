@@ -6,10 +6,15 @@ bucket every class is compared with the bucket's most central class (a star), co
 of a bucket that are still in different components are compared with one another. Signatures and bitmaps of the
 sets discard pairs below the threshold inside the join; every link is confirmed on the full sets.
 
+Classes have numbers of their own, so texts that share a doc_id stay apart until the result is made. Classes that
+hold many rows are met by broadcast and the others by a shuffled join, so no key gathers many rows in a task.
+
 Defined results: a null or empty text, or one without words, has no shingles, links with nothing and is its own
 component; a text of fewer words than a shingle is one shingle; repeated rows get the same component; rows that
-share a doc_id count as one document; a row without doc_id has no component and is kept; an empty table gives an
-empty table; extra columns are ignored (near_duplicates) or carried through (drop_duplicates).
+share a doc_id count as one document with one component in near_duplicates, while drop_duplicates judges each text
+of such a document by itself, so that none that is alone of its kind goes; a row without doc_id has no component
+and is kept; an empty table gives an empty table; extra columns are ignored (near_duplicates) or carried through
+(drop_duplicates).
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import broadcast_if_small, fresh, read, text_of, written
+from quarry.llm.common import broadcast_if_small, drop_table, fresh, join_groups, read, text_of, written
 from quarry.llm.components import components
 
 SHINGLE = 5
@@ -89,7 +94,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHash()
 
-    def rows(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(ids: list, keys: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         sig: list = [None] * len(sets)
         bands: list = [[]] * len(sets)
@@ -106,19 +111,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bits[sets[i] % np.uint64(BITMAP)] = 1
                 sig[i], bands[i] = np.concatenate([s, np.packbits(bits).view(np.int64)]), b
         fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "sig", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "fp", "sig", "bands"])
 
     for batch in batches:
-        ids, sets, size = [], [], 0
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        ids, keys, sets, size = [], [], [], 0
+        for i, text, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             ids.append(i)
+            keys.append(key)
             sets.append(shingle_set(text, cache))
             size += len(sets[-1])
             if size >= BLOCK:
-                yield rows(ids, sets)
-                ids, sets, size = [], [], 0
+                yield rows(ids, keys, sets)
+                ids, keys, sets, size = [], [], [], 0
         if ids:
-            yield rows(ids, sets)
+            yield rows(ids, keys, sets)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +162,16 @@ def _fits(a: str, b: str) -> Column:
     return sizes & ((100 + THRESHOLD_PERCENT) * differ <= (100 - THRESHOLD_PERCENT) * (na + nb)) & (equal >= LEAST_EQUAL)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, fp binary, sig array<long>, bands array<long>"), "signed")
-    classes = signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
+def _judged(docs: DataFrame, tie: bool) -> DataFrame:
+    """Per row of docs: doc_id, key (hash of its text), n_shingles, fp and component_id; tie: texts of one doc_id share a component."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("key"))
+    signed = written(texts.mapInArrow(_sign, "doc_id long, key long, n_shingles long, fp binary, sig array<long>, bands array<long>"), "signed")
+    full = signed.where("fp is not null and doc_id is not null")
+    classes = written(full.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes")
     # one row for each class: the row of its least document
-    nodes = written(signed.join(classes, (signed.fp == classes.fp) & (signed.doc_id == classes.node), "left_semi").select(F.struct(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig").alias("x"), "fp", "bands").dropDuplicates(["fp"]).drop("fp"), "nodes")
+    heads = classes.select(F.col("fp").alias("_fp"), "head", "node")
+    first = full.join(heads, (F.col("fp") == F.col("_fp")) & (F.col("doc_id") == F.col("head"))).select(F.struct("node", F.col("n_shingles").alias("n"), "sig").alias("x"), "head", "key", "fp", "bands")
+    nodes = written(first.dropDuplicates(["fp"]).drop("fp"), "nodes")
     keys = nodes.select(F.col("x.node").alias("node"), F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     placed = written(keys.join(buckets, "key").select("key", "node", "n"), "placed")
@@ -172,13 +181,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centre = members.groupBy("key").agg(F.max_by("x", F.struct("reach", "x.node")).alias("y"))
     star = members.join(centre, "key").where((F.col("x.node") != F.col("y.node")) & _fits("x", "y")).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
     star = written(star.distinct(), "star")
+    drop_table(placed)
 
     def confirmed(near: DataFrame, name: str) -> DataFrame:
-        wanted = written(near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct(), f"wanted-{name}")
+        asked = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
+        wanted = written(nodes.select(F.col("x.node").alias("node"), F.col("head").alias("_head"), F.col("key").alias("_key")).join(asked, "node", "left_semi"), f"wanted-{name}")
         few = broadcast_if_small(wanted)
-        sets = written(texts.withColumnRenamed("doc_id", "node").join(few, "node", "left_semi").mapInArrow(_sets, "node long, items binary"), f"sets-{name}")
-        full = near.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
-        return written(full.mapInArrow(_linked, "u long, v long").distinct(), f"links-{name}")
+        met = texts.join(few, (F.col("doc_id") == F.col("_head")) & (F.col("key") == F.col("_key"))).select("node", "text")
+        sets = written(met.mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]), f"sets-{name}")
+        both = near.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+        links = written(both.mapInArrow(_linked, "u long, v long").distinct(), f"links-{name}")
+        for t in (wanted, sets):
+            drop_table(t)
+        return links
 
     links = confirmed(star, "star")
     roots = written(components(links), "roots")
@@ -191,21 +206,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = open_.select("key", F.col("x").alias("q"), F.col("root").alias("qr"))
     pairs = rest.join(other, (rest["key"] == other["key"]) & F.expr("pr <> qr") & _fits("p", "q")).select(F.least("p.node", "q.node").alias("u"), F.greatest("p.node", "q.node").alias("v"))
     more = confirmed(written(pairs.distinct().join(star, ["u", "v"], "left_anti"), "rest"), "rest")
+    shared = _shared(signed) if tie else None
+    if shared is not None:
+        more = more.union(_ties(full, classes, shared))
     if not more.isEmpty():
         roots = written(components(more.union(roots.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))), "roots")
-    named = signed.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").join(roots, "node", "left")
-    component = F.coalesce("root", "node", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    for t in (nodes, members, star):
+        drop_table(t)
+    # a component is called by the least doc_id of its classes
+    named = roots.join(classes.select("node", "head"), "node")
+    named = named.join(named.groupBy("root").agg(F.min("head").alias("least")), "root").select("node", "least")
+    called = classes.join(named, "node", "left").select("fp", "n", F.coalesce("least", "head").alias("component"))
+    rows = join_groups(signed.select("doc_id", "key", "n_shingles", "fp"), called, "fp", "n")
+    if shared is not None:
+        # a text without words goes with the other texts of its document
+        own = rows.where("component is not null").join(shared, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("_own"))
+        rows = rows.join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "_own"))
+    return rows.select("doc_id", "key", "n_shingles", "fp", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _shared(signed: DataFrame) -> DataFrame | None:
+    """The doc_ids that several texts share, or None where there are none."""
+    h = F.xxhash64("fp")
+    each = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b"))
+    shared = written(each.where("a <> b").select("doc_id"), "shared")
+    return None if shared.isEmpty() else shared
+
+
+def _ties(full: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Edges (u, v) between the classes of each shared doc_id."""
+    held = full.select("doc_id", "fp").join(shared, "doc_id", "left_semi").distinct().join(classes.select("fp", "node"), "fp").select("doc_id", "node")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("u"))
+    return held.join(least, "doc_id").where("u < node").select("u", F.col("node").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _judged(docs, tie=True).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document is the least of its component; columns as they were.
+    """The rows of docs whose text is that of the least document of its component; columns as they were.
 
     Repeated rows of a kept document all stay: they are one document.
     """
-    (name,) = fresh(docs, "_gone")
-    gone = broadcast_if_small(written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+    i, k, key = fresh(docs, "_gone", "_k", "_key")
+    lost = _judged(docs, tie=False).where("doc_id <> component_id").select(F.col("doc_id").alias(i), F.col("key").alias(k)).distinct()
+    gone = broadcast_if_small(written(lost, "gone"))
+    return docs.withColumn(key, F.xxhash64(text_of())).join(gone, (F.col(key) == F.col(k)) & (F.col("doc_id") == F.col(i)), "left_anti").drop(key)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,25 @@ def test_large_group_of_near_copies_stays_whole(spark):
     assert got == want
 
 
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(5)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = lambda t: " ".join([*t.split()[:-1], "end"])
+    rows = [(3, a), (5, a), (5, b), (7, near(b)), (9, c), (9, d), (9, ""), (8, near(d)), (11, None), (11, a.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()} == {(3, 3), (5, 3), (7, 3), (9, 8), (8, 8), (11, 3)}
+    left = {(r.doc_id, r.text) for r in minhash.drop_duplicates(docs).collect()}
+    assert left == {(3, a), (5, b), (9, c), (9, ""), (8, near(d)), (11, None)}
+
+
+def test_one_class_of_many_rows(spark):
+    rng = random.Random(6)
+    copies, other = prose(rng, 30), [prose(rng, 30) for _ in range(40)]
+    rows = [(10 + i, copies if i % 3 else None) for i in range(6000)] + [(10_000 + i, t) for i, t in enumerate(other)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(got[i] == (11 if t == copies else i) for i, t in rows)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
