@@ -1,12 +1,14 @@
 """Operator 6: BPE encoding and decoding over a table of distinct words.
 
 The first pass splits texts into words and writes each document as positions in its chunk's word list (a chunk is
-a bounded run of documents of one task). The lists are dealt by a hash of the word, so that all chunks' entries of
-a word meet in one task, where each distinct word is encoded once; its ids go back to the chunks that hold it, and
-the last pass joins them to the documents by position. Decoding looks every id up in the vocabulary's id-to-piece
-table, whose size is that of the vocabulary. No step holds more than one chunk, and a frequent word is one entry
-for each chunk, so neither hot words nor hot sources gather anywhere. Rows are compressed blocks of documents or
-of words, which keeps what is written and shuffled well below the size of the texts.
+a bounded run of documents of one task). The lists are dealt by a hash of the word into parts, so that all chunks'
+entries of a word meet in one part, which is the table of its distinct words: each is encoded there once. Its ids go
+back to the chunks that hold it, and the last pass joins them to the documents by position. The number of parts grows
+with the documents, so that a part's table stays small. Decoding looks every id up in the vocabulary's id-to-piece
+table, whose size is that of the vocabulary. No step holds more than one chunk or one part, and a frequent word is
+one entry for each chunk, so neither hot words nor hot sources gather anywhere. Rows are compressed blocks of
+documents or of words, which keeps what is written and shuffled well below the size of the texts: one row for each
+word of a chunk would be some 20 bytes in each of three shuffles, beside 270 MB of codes for 0.5 GB of documents.
 
 Texts whose characters are all ASCII or Latin letters are split by fast string methods; any other character sends
 a text through the tokenizer's own normaliser and splitter, so both give what the tokenizers library gives.
@@ -38,8 +40,9 @@ CHUNK_WORDS = 8_000_000
 CHUNK_DISTINCT = 500_000
 #: Words of the documents that share a row.
 BLOCK_WORDS = 1 << 18
-#: Words a task that encodes remembers.
-ENCODED_WORDS = 500_000
+#: Documents for each part of the distinct words, and the least and the largest number of parts (powers of two).
+PART_DOCS = 4096
+PARTS = (64, 1 << 20)
 
 _PLAIN = re.compile("[^\t-\r -~À-ɏ]")
 #: The split pattern of word_bpe_49k, for plain texts.
@@ -179,7 +182,7 @@ def _chunks(path: str, parts: int):
 
 
 def _encode(path: str):
-    """Parts of word lists to the same parts of id lists; a task encodes a distinct word once."""
+    """Word lists sorted by part to id lists; the distinct words of one part are held, and each is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -188,17 +191,17 @@ def _encode(path: str):
         model = tok.model
 
         class Ids(dict):
-            """Ids of a word; beyond the bound a word may be encoded again, to the same ids."""
+            """Ids of the distinct words of a part."""
 
             def __missing__(self, w: str) -> list[int]:
-                out = [tok.token_to_id(w[1:])] if w[0] == "\0" else [t.id for t in model.tokenize(w)]
-                if len(self) < ENCODED_WORDS:
-                    self[w] = out
+                self[w] = out = [tok.token_to_id(w[1:])] if w[0] == "\0" else [t.id for t in model.tokenize(w)]
                 return out
 
-        ids = Ids()
+        ids, now = Ids(), -1
         for batch in batches:
-            for chunk, codes, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "codes", "data")), strict=True):
+            for chunk, part, codes, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "codes", "data")), strict=True):
+                if part != now:
+                    ids, now = Ids(), part
                 got = list(map(ids.__getitem__, zstandard.decompress(data).decode().split("\n")))
                 sizes = np.fromiter(map(len, got), np.uint32, len(got))
                 yield _batch([(chunk, 0, None, None, codes, _planes(np.concatenate([sizes, np.fromiter(chain.from_iterable(got), np.uint32)])))], _BLOCK)
@@ -260,15 +263,21 @@ def _rows(out: list[tuple], digest: bool) -> pa.RecordBatch:
     return _batch(out, pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.string()), strict=True))))
 
 
-def encode(docs: DataFrame, path: str | None = None, digest: bool = False, parts: int = 64) -> DataFrame:
+def parts_of(n_docs: int) -> int:
+    """Into how many parts the distinct words of so many documents are dealt."""
+    return min(PARTS[1], max(PARTS[0], 1 << (n_docs // PART_DOCS).bit_length()))
+
+
+def encode(docs: DataFrame, path: str | None = None, digest: bool = False, parts: int | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, ids (little-endian 32-bit) and decoded text, or their digests.
 
-    parts: into how many tasks the distinct words are dealt for encoding.
+    parts: into how many parts the distinct words are dealt for encoding; else their number follows that of docs.
     """
     path = path or default_tokenizer()
+    parts = parts or parts_of(docs.count())
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     chunks = written(texts.mapInArrow(_chunks(path, parts), _BLOCK_DDL), "chunks", compression="uncompressed")
-    words = chunks.where("part >= 0").repartition("part")
+    words = chunks.where("part >= 0").repartition("part").sortWithinPartitions("part")
     blocks = chunks.where("part < 0").union(words.mapInArrow(_encode(path), _BLOCK_DDL))
     met = blocks.repartition("chunk").sortWithinPartitions("chunk", F.col("doc_ids").isNotNull())
     return met.mapInArrow(_joined(path, digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, n_tokens long, ids binary, decoded string")

@@ -49,10 +49,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests) a folder of our own."""
+    """spark.checkpoint.dir of the session; only where it is unset, in a local session (tests), a folder of our own."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="quarry-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)

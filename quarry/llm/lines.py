@@ -93,10 +93,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", n.alias("n_lines"), gone.alias("n_removed"), _text_left(spans).alias("text"))
 
 
-def clean_documents(docs: DataFrame) -> DataFrame:
-    """docs with the repeated lines gone from text, and n_chars (where there is one) the new length; no row goes."""
+def clean_documents(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """docs with the repeated lines gone from text, and n_chars (where there is one) the new length.
+
+    Every row stays, unless drop_emptied is set: then rows go that had words and lost them all, as every line of theirs
+    is in an earlier document.
+    """
     out, spans = _cleaned(docs)
     out = out.withColumn("text", _text_left(spans))
+    if drop_emptied:
+        out = out.where(F.col(spans).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

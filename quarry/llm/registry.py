@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from quarry.llm import bpe, chaining, chat, decontaminate, lines, minhash, packing, quality, surrogates, toxicity
+from quarry.llm import bpe, chaining, chat, decontaminate, lines, minhash, packing, pipeline, quality, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_surrogates": surrogates.op8_surrogates,
     "op9_quality": quality.op9_quality,
     "op10_templates": decontaminate.op10_templates,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op4_line_windows": lines.ORACLE,

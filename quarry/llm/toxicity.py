@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ MIN_TOXIC_DOCS = 3
 MIN_LOG_ODDS = 1.5
 BEGINNINGS = (4, 5, 6, 7)
 CACHED_TOKENS = 400_000
-BEAM = 24
 #: Longer tokens are decoded in pieces of so many characters.
 PIECE = 40
+#: Readings kept for a token; each state of the search keeps as many, so they are the best of all.
 READINGS = 3
 
 #: What a character may stand for.
@@ -80,7 +81,7 @@ class CharModel:
 
     def readings(self, token: str, breaks: bool = False) -> list[str]:
         """The best readings of a token's lattice, best first; with breaks, of words with blanks between them."""
-        beam: dict[tuple[str, str], list[tuple[float, str]]] = {("^", "^"): [(0.0, "")]}
+        states: dict[tuple[str, str], list[tuple[str, float]]] = {("^", "^"): [("", 0.0)]}
         last = ""
         for ch in token:
             arcs: list[tuple[str, float]] = []
@@ -93,18 +94,24 @@ class CharModel:
                 arcs.append(("", COST["separator"] if ch in SEPARATORS or ch.isspace() else COST["drop"]))
                 if ch == last:
                     arcs.append(("", COST["repeat"]))
-            after: dict[tuple[str, str], list[tuple[float, str]]] = {}
-            for (a, b), paths in beam.items():
+            after: dict[tuple[str, str], dict[str, float]] = {}
+
+            def reach(state: tuple[str, str], out: str, cost: float) -> None:
+                known = after.setdefault(state, {})
+                known[out] = min(cost, known.get(out, cost))
+
+            for (a, b), paths in states.items():
                 for c, cost in arcs:
                     state, step = ((b, c), cost + self.cost(a, b, c)) if c else ((a, b), cost)
-                    after.setdefault(state, []).extend((s + step, out + c) for s, out in paths)
+                    for out, s in paths:
+                        reach(state, out + c, s + step)
                     if breaks and c and b != "^":  # a word ends before this character
                         end = self.cost(a, b, "$") + COST["break"] + cost + self.cost("^", "^", c)
-                        after.setdefault(("^", c), []).extend((s + end, out + " " + c) for s, out in paths)
-            ranked = sorted(((min(v)[0], k) for k, v in after.items()))[:BEAM]
-            beam = {k: sorted(set(after[k]))[:READINGS] for _, k in ranked}
+                        for out, s in paths:
+                            reach(("^", c), f"{out} {c}", s + end)
+            states = {k: nsmallest(READINGS, v.items(), key=lambda x: (x[1], x[0])) for k, v in after.items()}
             last = ch
-        done = sorted((s + self.cost(a, b, "$"), out) for (a, b), paths in beam.items() for s, out in paths if out)
+        done = sorted((s + self.cost(a, b, "$"), out) for (a, b), paths in states.items() for out, s in paths if out)
         return list(dict.fromkeys(out for _, out in done))[:READINGS]
 
 
