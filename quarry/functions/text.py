@@ -8,44 +8,46 @@ from pyspark.sql import functions as F
 #: Every break that Python's splitlines knows, and Unicode white space for strip.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
 WHITE = "[\\s\x1c-\x1f\u0085   -     　]"
+INK = WHITE.replace("[", "[^", 1)
 
 #: Language by file suffix; other suffixes are OTHER.
 LANGUAGES = {
-    "python": ("py", "pyi"),
-    "java": ("java",),
-    "kotlin": ("kt", "kts"),
-    "javascript": ("js", "jsx", "mjs", "cjs"),
-    "typescript": ("ts", "tsx"),
-    "html": ("html", "htm"),
-    "css": ("css", "scss", "less"),
-    "c": ("c", "h"),
-    "cpp": ("cpp", "cxx", "cc", "hpp"),
-    "csharp": ("cs",),
-    "go": ("go",),
-    "rust": ("rs",),
-    "swift": ("swift",),
-    "ruby": ("rb",),
-    "php": ("php",),
-}
+    ".py": "python", ".pyi": "python", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".ts": "typescript", ".tsx": "typescript", ".html": "html", ".htm": "html", ".css": "css", ".scss": "css", ".less": "css", ".c": "c", ".h": "c", ".cpp": "cpp", ".cxx": "cpp", ".cc": "cpp", ".hpp": "cpp",
+    ".cs": "csharp", ".go": "go", ".rs": "rust", ".swift": "swift", ".rb": "ruby", ".php": "php",
+}
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def lines(text: Column) -> Column:
     """The lines of a text, without an empty last one; null and empty give none."""
     parts = F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(parts, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def stripped(line: Column) -> Column:
     return F.regexp_replace(line, f"^{WHITE}+|{WHITE}+$", "")
 
 
-def line_metrics(text: Column, comment: str = "#") -> dict[str, Column]:
-    """loc, blank_lines, comment_lines, sloc and comment_density; comment is the line prefix that marks comments."""
-    found = lines(text)
-    bare = F.transform(found, stripped)
-    loc = F.size(found).cast("bigint")
-    blank = F.size(F.filter(bare, lambda x: x == "")).cast("bigint")
-    notes = F.size(F.filter(bare, lambda x: x.startswith(comment))).cast("bigint")
+def line_counts(text: Column, comment: str = "#") -> Column:
+    """struct(loc, blank_lines, comment_lines); comment is the line prefix that marks comments.
+
+    The text is split once and a line is tested by one search that stops at its first visible character.
+    """
+    begin = "^" + WHITE + "*"
+    shown = lambda x: x.rlike(INK)
+    noted = lambda x: x.contains(comment) & x.rlike(begin + "".join(c if c.isalnum() else "\\" + c for c in comment))
+    number = lambda a: F.size(a).cast("bigint")
+    return let(lines(text), lambda x: F.struct(number(x).alias("loc"), (number(x) - number(F.filter(x, shown))).alias("blank_lines"), number(F.filter(x, noted)).alias("comment_lines")))
+
+
+def line_metrics(counts: Column) -> dict[str, Column]:
+    """loc, blank_lines, comment_lines, sloc and comment_density from a column of line_counts."""
+    loc, blank, notes = (counts[c] for c in ("loc", "blank_lines", "comment_lines"))
     return {"loc": loc, "blank_lines": blank, "comment_lines": notes, "sloc": F.greatest(loc - blank - notes, F.lit(0).cast("bigint")), "comment_density": F.when(loc > 0, notes / loc).otherwise(0.0)}
 
 
@@ -76,7 +78,7 @@ def suffix(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    pairs = [F.lit(x) for name, ends in LANGUAGES.items() for e in ends for x in (f".{e}", name)]
+    pairs = [F.lit(x) for kv in LANGUAGES.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), suffix(path)), F.lit("other"))
 
 

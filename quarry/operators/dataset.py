@@ -20,12 +20,23 @@ def stable_id(*parts: Column, length: int = 24) -> Column:
 def controls(entities: DataFrame, positives: DataFrame, key: str, group: list[str], ratio: float, minimum: int, seed: str) -> DataFrame:
     """Entities without a finding, drawn per group: max(minimum, ceil(ratio * positives)), at most all (DST-2).
 
-    The draw is by hash order, so it does not depend on partitioning. Only candidates meet, by group.
+    The draw is by hash order, so it does not depend on partitioning. Candidates are counted by the first digits of their
+    hashes: those before the bucket in which a group's number is reached are taken, and only that bucket is ranked.
     """
     wanted = positives.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) * ratio).alias("w")).select(*group, F.greatest("w", F.lit(minimum)).alias("w"))
-    rest = entities.join(positives.select(key, *group).distinct(), [key, *group], "left_anti").join(wanted, group)
+    return drawn(entities.join(positives.select(key, *group).distinct(), [key, *group], "left_anti"), wanted, key, group, seed)
+
+
+def drawn(candidates: DataFrame, wanted: DataFrame, key: str, group: list[str], seed: str) -> DataFrame:
+    """The first w candidates of each group in the order of their hashes; wanted: group, w."""
     order = F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(g).cast("string") for g in group], F.col(key).cast("string")), 256)
-    return rest.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(order, key))).where("_n <= w").drop("_n", "w")
+    rest = candidates.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3))
+    counted = rest.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n")).join(wanted, group)
+    before = F.sum("_n").over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    left = counted.withColumn("_left", F.col("w") - before).where("_left > 0").select(*group, "_b", "_left", (F.col("_n") <= F.col("_left")).alias("_all"))
+    met = rest.join(left, [*group, "_b"])
+    ranked = met.where("not _all").withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy("_h", key))).where("_r <= _left").drop("_r")
+    return met.where("_all").union(ranked).drop("_h", "_b", "_left", "_all")
 
 
 def bundle(positives: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -45,13 +56,12 @@ def validate_review(rows: DataFrame, order: str, required: tuple[str, ...], comp
     Checks: blank or repeated task_id, blank required fields, labels outside the domain, a label without reviewer,
     a severity that does not fit its label, and, if complete is asked for, missing labels.
     """
-    nth = F.row_number().over(W.partitionBy("task_id").orderBy(order))
     blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
     issue = lambda when, name, text: F.when(when, F.struct(F.lit(name).alias("field"), F.lit(text).alias("message")))
     label, severe = F.coalesce("label", F.lit("")), F.coalesce("severity", F.lit(""))
     checks = [
         issue(blank("task_id"), "task_id", "blank"),
-        issue(~blank("task_id") & (F.col("_nth") > 1), "task_id", "duplicate"),
+        issue(~blank("task_id") & (F.col("_again")), "task_id", "duplicate"),
         *[issue(blank(c), c, "blank") for c in required if c != "task_id"],
         issue((label != "") & ~label.isin(*LABELS), "label", "unknown"),
         issue((label != "") & blank("reviewer"), "reviewer", "missing"),
@@ -60,7 +70,12 @@ def validate_review(rows: DataFrame, order: str, required: tuple[str, ...], comp
     ]
     if complete:
         checks.append(issue(label == "", "label", "missing"))
-    return rows.withColumn("_nth", nth).select(F.col(order).alias("row_number"), "task_id", F.explode(F.array_compact(F.array(*checks))).alias("i")).select("row_number", "task_id", "i.field", "i.message")
+    # blank ids are no group, and of an id only the first row's number is needed
+    named = rows.where(~blank("task_id"))
+    first = named.groupBy("task_id").agg(F.min(order).alias("_first"))
+    marked = named.join(first, "task_id").withColumn("_again", F.col(order) > F.col("_first")).drop("_first").select(*rows.columns, "_again")
+    marked = marked.union(rows.where(blank("task_id")).withColumn("_again", F.lit(False)))
+    return marked.select(F.col(order).alias("row_number"), "task_id", F.explode(F.array_compact(F.array(*checks))).alias("i")).select("row_number", "task_id", "i.field", "i.message")
 
 
 def label_counts(rows: DataFrame, *by: str) -> DataFrame:

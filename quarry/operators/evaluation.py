@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quarry.functions import scores as S
 
 
+#: Ranges of scores that a ranking is summed in.
+RANGES = 64
+
+
 def confusion(rows: DataFrame, by: list[str], truth: str, predicted: str) -> DataFrame:
     t, p = F.col(truth) == 1, F.col(predicted) == 1
     return rows.groupBy(*by).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
@@ -26,11 +30,18 @@ def binary_metrics(rows: DataFrame, by: list[str], truth: str, predicted: str) -
 def ranking(rows: DataFrame, by: list[str], truth: str, score: str) -> DataFrame:
     """Per group roc_auc, pr_auc (average precision) and brier; ties share a threshold, one class gives null (T12).
 
-    Rows are reduced to one for each distinct score before anything is ordered.
+    Rows are reduced to one for each distinct score. These are dealt into ranges of scores; sums run within a range and
+    start from the totals of the ranges above it, so no task sorts all scores of a group.
     """
     s = rows.groupBy(*by, score).agg(F.sum(F.col(truth).cast("double")).alias("_p"), F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.pow(F.col(score) - F.col(truth), 2)).alias("_b"))
-    down = W.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, 0) if by else W.orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, 0)
-    c = s.withColumn("_cp", F.sum("_p").over(down)).withColumn("_cn", F.sum("_n").over(down))
+    ends = sorted(set(rows.where(F.col(score).isNotNull()).approxQuantile(score, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
+    s = s.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: F.col(score) > e)) if ends else F.lit(0))
+    down = W.partitionBy(*by, "_range").orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, 0)
+    above = W.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, -1)
+    totals = s.groupBy(*by, "_range").agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
+    start = totals.select(*by, "_range", *[F.coalesce(F.sum(t).over(above), F.lit(0.0)).alias(a) for t, a in (("_tp", "_ap"), ("_tn", "_an"))])
+    c = s.withColumn("_cp", F.sum("_p").over(down)).withColumn("_cn", F.sum("_n").over(down)).join(start, [*by, "_range"])
+    c = c.withColumn("_cp", F.col("_cp") + F.col("_ap")).withColumn("_cn", F.col("_cn") + F.col("_an"))
     neg = F.col("_n") - F.col("_p")
     area = F.sum(neg * (F.col("_cp") - F.col("_p") / 2))
     ap = F.sum(F.col("_p") * F.col("_cp") / F.col("_cn"))

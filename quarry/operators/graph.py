@@ -98,16 +98,14 @@ def response(calls: DataFrame, owner: str, method: str, called: str) -> DataFram
 def lcom1(methods: DataFrame, owner: str, method: str, fields: str) -> DataFrame:
     """(owner, lcom1) from methods with their field arrays: disjoint pairs less sharing pairs, not below 0 (GRA-12).
 
-    Sharing pairs come from the fields that two methods have in common, all pairs from the method count.
+    A class becomes one row of its methods' field sets, bounded by its source file; pairs are counted inside the row and
+    never become rows.
     """
-    m = methods.select(owner, method, fields)
-    used = m.select(owner, method, F.explode(F.array_distinct(fields)).alias("field"))
-    other = used.select(owner, "field", F.col(method).alias("_other"))
-    sharing = used.join(other, [owner, "field"]).where(F.col(method) < F.col("_other")).select(owner, method, "_other").distinct().groupBy(owner).agg(F.count(F.lit(1)).alias("s"))
-    n = m.groupBy(owner).agg(F.count(F.lit(1)).alias("n")).join(sharing, owner, "left")
-    s = F.coalesce("s", F.lit(0))
-    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
-    return n.select(owner, F.greatest(pairs - 2 * s, F.lit(0)).cast("bigint").alias("lcom1"))
+    m = methods.groupBy(owner).agg(F.collect_list(F.array_distinct(F.coalesce(fields, F.array()))).alias("_f"))
+    n = F.size("_f")
+    sharing = F.aggregate(F.transform("_f", lambda a, i: F.size(F.filter(F.slice("_f", i + 2, n), lambda b: F.arrays_overlap(a, b)))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    pairs = (n.cast("bigint") * (n - 1) / 2).cast("bigint")
+    return m.select(owner, F.greatest(pairs - 2 * sharing, F.lit(0)).cast("bigint").alias("lcom1"))
 
 
 def lcom_hs(methods: DataFrame, declared: DataFrame, owner: str, method: str, fields: str, field: str) -> DataFrame:

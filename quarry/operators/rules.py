@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import yaml
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import scores as S
@@ -100,10 +101,36 @@ def ruleset_hash(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(json.dumps(plain, sort_keys=True).encode()).hexdigest()
 
 
+def percentiles(entities: DataFrame, wanted: list[tuple[str, float]], by: list[str], min_sample: int = MIN_SAMPLE) -> DataFrame:
+    """(by, metric, q, n, threshold) of every (metric, q): the exact, interpolated percentile, null below min_sample rows (AGG-5, AGG-6).
+
+    Values become counts of distinct values before anything is ordered; running counts over these find the two values
+    beside the wanted place, so no group is held in a buffer.
+    """
+    metrics = sorted({m for m, _ in wanted})
+    long = entities.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m")).select(*by, "m.*").where("v is not null")
+    counted = long.groupBy(*by, "metric", "v").agg(F.count(F.lit(1)).alias("c"))
+    group = W.partitionBy(*by, "metric")
+    ran = counted.withColumn("upto", F.sum("c").over(group.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(group))
+    qs = F.explode(F.filter(F.array(*[F.struct(F.lit(m).alias("of"), F.lit(float(q)).alias("q")) for m, q in sorted(set(wanted))]), lambda w: w["of"] == F.col("metric")))
+    at = (F.col("w.q") / 100) * (F.col("n") - 1)
+    # the places floor(at) and ceil(at), counted from 0, fall in the values whose counts span them
+    spans = lambda place: (F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)
+    met = ran.withColumn("w", qs).withColumn("at", at)
+    low, high = (F.max(F.when(spans(f(F.col("at"))), F.col("v"))) for f in (F.floor, F.ceil))
+    out = met.groupBy(*by, "metric", F.col("w.q").alias("q")).agg(F.max("n").alias("n"), F.max("at").alias("at"), low.alias("low"), high.alias("high"))
+    part = F.col("at") - F.floor("at")
+    return out.select(*by, "metric", "q", "n", F.when(F.col("n") >= min_sample, F.when(part == 0, F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high"))).alias("threshold"))
+
+
 def thresholds(entities: DataFrame, metric: str, q: float, by: list[str], min_sample: int = MIN_SAMPLE) -> DataFrame:
-    """(by, n, threshold): the exact, interpolated percentile of a metric, null below min_sample rows (AGG-5, AGG-6)."""
-    out = entities.groupBy(*by).agg(F.count(metric).alias("n"), F.percentile(metric, F.lit(q / 100)).alias("p"))
-    return out.select(*by, "n", F.when(F.col("n") >= min_sample, F.col("p")).alias("threshold"))
+    """(by, n, threshold) of one metric; a group without values is left out."""
+    return percentiles(entities, [(metric, q)], by, min_sample).select(*by, "n", "threshold")
+
+
+def threshold_summary(table: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metrics): how many metrics have a threshold in each group (AGG-25)."""
+    return table.where("threshold is not null").groupBy(*by).agg(F.countDistinct("metric").alias("metrics"))
 
 
 def _matches(value: Column, patterns: tuple[str, ...]) -> Column:
@@ -151,8 +178,10 @@ def detect(entities: DataFrame, rules: tuple[Rule, ...] | None = None, mode: str
         wanted = sorted({(c.metric, c.percentile) for r in known for c in r.conditions})
         by = [*([project] if project else []), "entity_type"]
         named = {f"{m}@{p}": f"_t{i}" for i, (m, p) in enumerate(wanted)}
-        table = entities.groupBy(*by).agg(*[F.when(F.count(m) >= MIN_SAMPLE, F.percentile(F.col(m).cast("double"), F.lit(p / 100))).alias(named[f"{m}@{p}"]) for m, p in wanted])
-        entities, relative = entities.join(table, by), {k: F.col(v) for k, v in named.items()}
+        long = percentiles(entities, wanted, by)
+        pick = lambda m, p: F.max(F.when((F.col("metric") == m) & (F.col("q") == float(p)), F.col("threshold")))
+        table = long.groupBy(*by).agg(*[pick(m, p).alias(named[f"{m}@{p}"]) for m, p in wanted])
+        entities, relative = entities.join(table, by, "left"), {k: F.col(v) for k, v in named.items()}
     found = F.array_compact(F.array(*[_finding(r, relative, entities.columns, mode) for r in known])) if known else F.array().cast(f"array<struct<smell:string,severity:string,excess:double,evidence:{EVIDENCE}>>")
     keep = [c for c in (project, "entity_id", "entity_type", "name", "qualified_name", "path", "start_line", "end_line") if c and c in entities.columns]
     return entities.select(*keep, F.explode(found).alias("f")).select(*keep, "f.*")

@@ -49,14 +49,16 @@ sized AS (SELECT doc_id, loc, blank_lines, comment_lines, greatest(loc - blank_l
 
 @bound(f"WITH {LINES} SELECT sized.*, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS physical_lines FROM sized JOIN documents USING (doc_id)")
 def text_line_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = T.line_metrics(F.col("text"), "T")
+    m = T.line_metrics(F.col("counts"))
     m["comment_density"] = F.round(m["comment_density"], 6)
-    return table(spark, d, "documents").select("doc_id", *[v.alias(k) for k, v in m.items()], T.physical_lines(F.col("text")).alias("physical_lines"))
+    counted = table(spark, d, "documents").select("doc_id", T.line_counts(F.col("text"), "T").alias("counts"), T.physical_lines(F.col("text")).alias("physical_lines"))
+    return counted.select("doc_id", *[v.alias(k) for k, v in m.items()], "physical_lines")
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    m = T.line_metrics(F.col("text"), "T")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), F.lit("class").alias("entity_type"), F.col("source").alias("project"), *[v.cast("double").alias(k) for k, v in m.items()])
+    m = T.line_metrics(F.col("counts"))
+    counted = table(spark, d, "documents").select("doc_id", "source", T.line_counts(F.col("text"), "T").alias("counts"))
+    return counted.select(F.col("doc_id").alias("entity_id"), F.lit("class").alias("entity_type"), F.col("source").alias("project"), *[v.cast("double").alias(k) for k, v in m.items()])
 
 
 LARGE = (R.Rule("large_file", "class", (R.Condition("loc", ">", 6.0, 90),)),)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import os
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quarry.functions import text as T
+from quarry.settings import Limits
 
 #: Directories without first-party source, suffixes and name parts of files that are not, size limit.
 EXCLUDED_DIRS = (
@@ -43,14 +47,16 @@ def is_test(path: Column) -> Column:
     return name.startswith("test_") | name.endswith("_test.py") | F.exists(_folders(path), lambda d: F.lower(d).isin("test", "tests"))
 
 
-def screen(path: Column, size: Column, include_tests: bool = True, max_bytes: int = MAX_FILE_BYTES, extra_dirs: tuple[str, ...] = ()) -> Column:
-    """struct(reason, detail) of the first test a file fails, or null: folder, suffix, generated, test, size (FLT-3)."""
+def screen(path: Column, size: Column, include_tests: bool = True, max_bytes: int = MAX_FILE_BYTES, extra_dirs: tuple[str, ...] = (), languages: tuple[str, ...] | None = None) -> Column:
+    """struct(reason, detail) of the first test a file fails, or null: folder, suffix, generated, language, test, size (FLT-3)."""
     name, folder = F.lower(T.base_name(path)), excluded_folder(path, extra_dirs)
     no = lambda reason, detail: F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))
     any_of = lambda tests: F.array_contains(F.array(*tests), True)
     out = F.when(folder.isNotNull(), no("excluded_path", F.concat(F.lit("in "), folder, F.lit("/"))))
     out = out.when(any_of([name.endswith(s) for s in EXCLUDED_SUFFIXES]), no("disallowed_suffix", F.lit("")))
     out = out.when(any_of([name.contains(m) for m in GENERATED_MARKERS]), no("excluded_path", F.lit("generated source")))
+    if languages is not None:
+        out = out.when(~T.language(path).isin(*languages), no("disallowed_suffix", F.concat(F.lit("language "), T.language(path))))
     if not include_tests:
         out = out.when(is_test(path), no("excluded_path", F.lit("test code")))
     return out.when(size > max_bytes, no("member_too_large", F.concat(size.cast("string"), F.lit(f" > {max_bytes}"))))
@@ -90,11 +96,58 @@ def without_virtualenvs(files: DataFrame) -> DataFrame:
     return files.join(inside, "path", "left_anti")
 
 
+def _left_out(spark: SparkSession, root: str) -> tuple[list[tuple[str, str, int]], list[str]]:
+    """((uri, path, size) of files that Spark's reader leaves out, paths of links) below root.
+
+    Spark takes names that begin with an underscore or a dot for its own: packages' __init__ files are among them. Folders
+    that begin with a dot stay out, as every walk prunes them. Like Spark's own listing this is a list on the driver.
+    """
+    base = root.removeprefix("file://").removeprefix("file:").rstrip("/")
+    found, links = [], []
+    if "://" not in base:
+        for at, folders, names in os.walk(base):
+            links += [os.path.relpath(os.path.join(at, n), base) for n in (*folders, *names) if os.path.islink(os.path.join(at, n))]
+            folders[:] = [d for d in folders if not d.startswith(".") and not os.path.islink(os.path.join(at, d))]
+            for n in names:
+                path = os.path.relpath(os.path.join(at, n), base)
+                if (n.startswith(".") or path.startswith("_") or "/_" in path) and not os.path.islink(os.path.join(at, n)):
+                    found.append((os.path.join(base, path), path, os.path.getsize(os.path.join(base, path))))
+        return found, links
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    while files.hasNext():
+        f = files.next()
+        uri = f.getPath().toString()
+        parts = uri[len(base) + 1 :].split("/")
+        if any(p.startswith("_") for p in parts) or parts[-1].startswith("."):
+            if not any(p.startswith(".") for p in parts[:-1]):
+                found.append((uri, "/".join(parts), f.getLen()))
+    return found, links
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uri, path, size) to (path, size, content), one file at a time."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri, path, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            where, name = fs.FileSystem.from_uri(uri)
+            with where.open_input_stream(name) as f:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([f.read()], pa.binary())], ["path", "size", "content"])
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, size, content) of every file below root (SRC-2, SRC-4)."""
+    """(path relative to root, size, content) of every file below root (SRC-2, SRC-4); links are not followed."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
-    return found.select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + _escaped(base), "").alias("path"), F.col("length").alias("size"), "content")
+    files = found.select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + _escaped(base.removeprefix("file://").removeprefix("file:")), "").alias("path"), F.col("length").alias("size"), "content")
+    more, links = _left_out(spark, root)
+    if links:
+        names = spark.createDataFrame([(x,) for x in links], "link string")
+        files = files.join(F.broadcast(names), (F.col("path") == F.col("link")) | F.col("path").startswith(F.concat("link", F.lit("/"))), "left_anti")
+    if more:
+        files = files.union(spark.createDataFrame(more, "uri string, path string, size long").mapInArrow(_contents, "path string, size long, content binary"))
+    return files
 
 
 def _escaped(x: str) -> str:
@@ -102,45 +155,76 @@ def _escaped(x: str) -> str:
 
 
 MEMBER_DDL = "archive string, path string, size long, packed long, kind string, content binary"
+_MEMBER = pa.schema([("archive", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("packed", pa.int64()), ("kind", pa.string()), ("content", pa.binary())])
+#: Bytes of members that make a batch.
+BATCH_BYTES = 1 << 24
+
+
+def _members(name: str, raw: bytes) -> Iterator[tuple]:
+    """(archive, path, size, packed, kind, content) of an archive's members; one of kind corrupt where it cannot be read."""
+    budget = UNPACKED_BYTES
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for m in z.infolist():
+                mode = m.external_attr >> 16 & 0o170000
+                kind = "folder" if m.is_dir() else "symlink" if mode == 0o120000 else "special" if mode not in (0, 0o100000) else "file"
+                safe = kind == "file" and not m.filename.startswith(("/", "\\")) and ".." not in m.filename.replace("\\", "/").split("/") and m.file_size <= min(budget, MAX_FILE_BYTES)
+                content = None
+                if safe:
+                    with z.open(m) as f:
+                        content = f.read(min(budget, MAX_FILE_BYTES) + 1)
+                    budget -= len(content)
+                yield name, m.filename, m.file_size, m.compress_size, kind, content
+    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError, ValueError) as e:
+        yield name, type(e).__name__, 0, 0, "corrupt", None
 
 
 def unpack(archives: DataFrame) -> DataFrame:
-    """Members of zip files (path, content); contents of unsafe members and beyond the byte budget stay unread (SRC-3, FLT-8)."""
+    """Members of zip files (path, content); contents of unsafe members and beyond the byte budget stay unread (SRC-3, FLT-8).
+
+    An archive that cannot be read, or breaks off, gives a row of kind corrupt after the members read so far.
+    """
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MEMBER, strict=True)], schema=_MEMBER)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                budget = UNPACKED_BYTES
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for m in z.infolist():
-                        mode = m.external_attr >> 16 & 0o170000
-                        kind = "folder" if m.is_dir() else "symlink" if mode == 0o120000 else "special" if mode not in (0, 0o100000) else "file"
-                        safe = kind == "file" and not m.filename.startswith(("/", "\\")) and ".." not in m.filename.replace("\\", "/").split("/") and m.file_size <= min(budget, MAX_FILE_BYTES)
-                        content = z.open(m).read(min(budget, MAX_FILE_BYTES) + 1) if safe else None
-                        budget -= len(content or b"")
-                        yield pd.DataFrame({"archive": [name], "path": [m.filename], "size": [m.file_size], "packed": [m.compress_size], "kind": [kind], "content": [content]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for row in _members(name, raw.as_py()):
+                    rows.append(row)
+                    held += len(row[5] or b"")
+                    if held >= BATCH_BYTES or len(rows) >= 4096:
+                        yield made(rows)
+                        rows, held = [], 0
+        if rows:
+            yield made(rows)
 
-    return archives.select("path", "content").mapInPandas(run, MEMBER_DDL)
+    return archives.select("path", "content").mapInArrow(run, MEMBER_DDL)
 
 
-def screen_member(path: Column, size: Column, packed: Column, kind: Column) -> Column:
+def screen_member(path: Column, size: Column, packed: Column, kind: Column, limits: Limits | None = None) -> Column:
     """Reason to reject an archive member, or null (FLT-6)."""
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    largest, ratio = (limits.source_file_bytes, limits.ratio) if limits else (MAX_FILE_BYTES, RATIO)
     return (
-        F.when(F.trim(slashed) == "", "empty_name")
+        F.when(kind == "corrupt", "corrupt_archive")
+        .when(F.trim(slashed) == "", "empty_name")
         .when(slashed.startswith("/") | slashed.rlike("^[A-Za-z]:"), "absolute_path")
         .when(F.array_contains(F.split(slashed, "/"), ".."), "path_traversal")
         .when(kind == "symlink", "symlink")
         .when(kind == "special", "special_file")
-        .when(size > MAX_FILE_BYTES, "member_too_large")
-        .when((packed > 0) & (size / F.when(packed > 0, packed) > RATIO), "compression_ratio")
+        .when(size > largest, "member_too_large")
+        .when((packed > 0) & (size / F.when(packed > 0, packed) > ratio), "compression_ratio")
     )
 
 
-def archive_totals(members: DataFrame) -> DataFrame:
+def archive_totals(members: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Per archive: members, declared bytes, and which total limit it breaks, or null (FLT-7)."""
+    most, largest, ratio = (limits.members, limits.unpacked_bytes, limits.ratio) if limits else (MEMBERS, UNPACKED_BYTES, RATIO)
     totals = members.groupBy("archive").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("declared_bytes"), F.sum("packed").alias("packed_bytes"))
-    broken = F.when(F.col("members") > MEMBERS, "too_many_members").when(F.col("declared_bytes") > UNPACKED_BYTES, "archive_too_large").when((F.col("packed_bytes") > 0) & (F.col("declared_bytes") > RATIO * F.col("packed_bytes")), "compression_ratio")
+    broken = F.when(F.col("members") > most, "too_many_members").when(F.col("declared_bytes") > largest, "archive_too_large").when((F.col("packed_bytes") > 0) & (F.col("declared_bytes") > ratio * F.col("packed_bytes")), "compression_ratio")
     return totals.withColumn("broken", broken)
 
 
@@ -150,18 +234,30 @@ def within_budget(files: DataFrame, group: str, order: str, size: str, budget: i
     return files.withColumn("written_bytes", F.sum(size).over(w)).withColumn("fits", F.col("written_bytes") <= budget)
 
 
-def inventory(files: DataFrame, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(source files, rejections) of scanned files (SRC-6); where nothing passes, any text file does (SRC-7)."""
-    judged = without_virtualenvs(files).withColumn("no", F.when(looks_binary(F.col("content")), F.struct(F.lit("binary").alias("reason"), F.lit("").alias("detail"))).otherwise(screen(F.col("path"), F.col("size"))))
-    good = judged.where("no is null")
+def inventory(files: DataFrame, max_files: int | None = None, languages: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source files, rejections) of scanned files (SRC-6); where nothing passes, any text file does (SRC-7).
+
+    Verdicts are taken once; the fallback is a union that reads no content unless no file passed. A cap keeps the first
+    files by path.
+    """
+    judged = without_virtualenvs(files).withColumn("no", F.when(looks_binary(F.col("content")), F.struct(F.lit("binary").alias("reason"), F.lit("").alias("detail"))).otherwise(screen(F.col("path"), F.col("size"), languages=languages)))
+    good = judged.where("no is null").drop("no")
     if good.isEmpty():
         good = files.where(~looks_binary(F.col("content")))
+    if max_files is not None and good.count() > max_files:
+        # the path at which the cap falls; paths alone are ordered
+        last = good.select("path").orderBy("path").offset(max_files - 1).limit(1).first()["path"]
+        good = good.where(F.col("path") <= last)
     sources = good.withColumn("text", decoded("content")).select("path", T.language(F.col("path")).alias("language"), F.col("size").alias("size_bytes"), T.physical_lines(F.col("text")).alias("line_count"), F.sha2("text", 256).alias("sha256"), T.package_path(F.col("path")).alias("package"), "text")
-    if max_files is not None:
-        sources = sources.orderBy("path").limit(max_files)
     return sources, judged.where("no is not null").select("path", "no.reason", "no.detail")
 
 
+def rejections_in_order(rejected: DataFrame, k: int | None = None) -> DataFrame:
+    """Rejections by reason and path (SRT-4); k of them at most (LIM-3)."""
+    out = rejected.orderBy("reason", "path")
+    return out if k is None else out.limit(k)
+
+
 def census(files: DataFrame, project: str, language: str, size: str) -> DataFrame:
     """Per project and language: files and bytes (AGG-1)."""
     return files.groupBy(project, language).agg(F.count(F.lit(1)).alias("n_files"), F.sum(size).alias("n_bytes"))
@@ -185,7 +281,26 @@ def quality_warnings(totals_: DataFrame, min_files: int = 5, min_lines: int = 20
 
 
 def fingerprint(files: DataFrame, project: str, path: str, sha: str) -> DataFrame:
-    """Per project the digest of its files' (path, digest) in path order (AGG-4). A project is one file list in one row."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(path).cast("string").alias("p"), F.col(sha).alias("s"))))
-    joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["p"], F.char(F.lit(0)), x["s"], F.char(F.lit(0)))), "")
-    return files.groupBy(project).agg(F.sha2(joined, 256).alias("fingerprint"))
+    """Per project the digest of its files' (path, digest) in path order (AGG-4).
+
+    A project's files pass through one task in sorted order and are hashed as they come, so memory does not grow with
+    the project; the digest itself is one sequence by its definition.
+    """
+    kind = files.schema[project].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, out = None, None, []
+        for batch in batches:
+            for name, p, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if h is None or name != now:
+                    if h is not None:
+                        out.append((now, h.hexdigest()))
+                    now, h = name, hashlib.sha256()
+                h.update(f"{p}\0{s}\0".encode())
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.column(0).type), pa.array([r[1] for r in out], pa.string())], [project, "fingerprint"])
+            out, last = [], batch
+        if h is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], last.column(0).type), pa.array([h.hexdigest()])], [project, "fingerprint"])
+
+    named = files.select(project, F.col(path).cast("string").alias("p"), F.col(sha).alias("s"))
+    return named.repartition(project).sortWithinPartitions(project, "p").mapInArrow(run, f"`{project}` {kind}, fingerprint string")

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -278,19 +277,31 @@ NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch", "return", "class", "in
 CLASS_SPAN, FUNCTION_SPAN = 40, 15
 
 
-def parse_lines(files: DataFrame, key: str, text: Column) -> DataFrame:
+def parse_lines(files: DataFrame, key: str, text: Column, bare_name: Column | None = None) -> DataFrame:
     """Entities by line patterns: (key, entity_type, name, owner, start_line, end_line, parameter_count) (PAR-11).
 
-    A function belongs to the last class above it. A file without any entity is one class that holds 'execute'.
+    A function belongs to the last class above it. A file without any entity is one class that holds 'execute', by the
+    name bare_name; an empty file has no entity.
+    A file stays one row until its entities are known: its lines are split once, and the patterns are tried only on
+    lines that can match them.
     """
-    rows = files.select(key, T.lines(text).alias("lines")).select(key, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
-    rows = rows.select(key, "n", (F.col("i") + 1).alias("start_line"), F.regexp_extract("line", CLASS_LINE, 1).alias("c"), F.regexp_extract("line", FUNCTION_LINE, 1).alias("f"), F.regexp_extract("line", FUNCTION_LINE, 2).alias("args"))
-    above = W.partitionBy(key).orderBy("start_line").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("owner", F.last(F.when(F.col("c") != "", F.col("c")), True).over(above))
-    kind = F.when(F.col("c") != "", "class").when((F.col("f") != "") & ~F.col("f").isin(*NOT_FUNCTIONS), "method")
-    count = F.size(F.filter(F.split("args", ","), lambda a: F.trim(a) != ""))
-    span = F.when(kind == "class", CLASS_SPAN).otherwise(FUNCTION_SPAN)
-    found = rows.withColumn("entity_type", kind).where("entity_type is not null").select(key, "entity_type", F.when(kind == "class", F.col("c")).otherwise(F.col("f")).alias("name"), F.when(kind == "method", F.col("owner")).alias("owner"), "start_line", F.least(F.col("n"), F.col("start_line") + span).alias("end_line"), F.when(kind == "method", count).otherwise(0).alias("parameter_count"))
-    bare = rows.groupBy(key).agg(F.max("n").alias("n")).join(found.select(key).distinct(), key, "left_anti")
-    made = bare.select(key, F.explode(F.array(F.struct(F.lit("class").alias("t"), F.lit("MainComponent").alias("name"), F.lit(None).cast("string").alias("owner"), F.lit(0).alias("p")), F.struct(F.lit("method").alias("t"), F.lit("execute").alias("name"), F.lit("MainComponent").alias("owner"), F.lit(1).alias("p")))).alias("e"), "n")
-    return found.union(made.select(key, "e.t", "e.name", "e.owner", F.lit(1), F.col("n"), "e.p"))
+    rows = files.select(key, T.lines(text).alias("lines"), (F.lit("MainComponent") if bare_name is None else bare_name).alias("bare"))
+    likely = lambda x: x.contains("(") | x.rlike("class|interface|struct|type|enum")
+    rows = rows.select(key, "bare", F.size("lines").alias("n"), F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).alias("at"), x.alias("x"))), lambda s: likely(s["x"])).alias("seen"))
+    matched = F.transform("seen", lambda s: F.struct(s["at"].alias("at"), F.when(s["x"].rlike("class|interface|struct|type|enum"), F.regexp_extract(s["x"], CLASS_LINE, 1)).otherwise("").alias("c"), F.when(s["x"].contains("("), F.regexp_extract(s["x"], FUNCTION_LINE, 0)).otherwise("").alias("m")))
+    rows = rows.select(key, "bare", "n", F.filter(matched, lambda s: (s["c"] != "") | (s["m"] != "")).alias("met"))
+    named = F.transform("met", lambda s: F.struct(s["at"].alias("at"), s["c"].alias("c"), F.when(s["c"] == "", F.regexp_extract(s["m"], FUNCTION_LINE, 1)).otherwise("").alias("f"), F.regexp_extract(s["m"], FUNCTION_LINE, 2).alias("args")))
+    rows = rows.select(key, "bare", "n", F.filter(named, lambda s: (s["c"] != "") | ((s["f"] != "") & ~s["f"].isin(*NOT_FUNCTIONS))).alias("es"))
+    rows = rows.withColumn("classes", F.filter("es", lambda s: s["c"] != ""))
+    made = lambda kind, name, owner, start, end, count: F.struct(kind.alias("entity_type"), name.alias("name"), owner.cast("string").alias("owner"), start.alias("start_line"), end.alias("end_line"), count.alias("parameter_count"))
+
+    def entity(s: Column) -> Column:
+        is_class = s["c"] != ""
+        owner = F.try_element_at(F.filter("classes", lambda c: c["at"] <= s["at"]), F.lit(-1))["c"]
+        count = F.size(F.filter(F.split(s["args"], ","), lambda a: F.trim(a) != ""))
+        end = F.least(F.col("n"), s["at"] + F.when(is_class, CLASS_SPAN).otherwise(FUNCTION_SPAN))
+        return made(F.when(is_class, "class").otherwise("method"), F.when(is_class, s["c"]).otherwise(s["f"]), F.when(~is_class, owner), s["at"], end, F.when(is_class, 0).otherwise(count))
+
+    bare = F.array(made(F.lit("class"), F.col("bare"), F.lit(None), F.lit(1), F.col("n"), F.lit(0)), made(F.lit("method"), F.lit("execute"), F.col("bare"), F.lit(1), F.col("n"), F.lit(1)))
+    # outer: else the optimiser makes the array a second time to filter on its size
+    return rows.select(key, F.explode_outer(F.when(F.size("es") > 0, F.transform("es", entity)).when(F.col("n") > 0, bare)).alias("e")).where("e is not null").select(key, "e.*")

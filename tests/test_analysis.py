@@ -100,6 +100,7 @@ def tree(tmp_path_factory):
 def test_features(spark, tree):
     files, rejected, found = A.analyze(spark, str(tree))
     assert {r.path for r in files.collect()} == {"repo.py", "service.py", "deep.py", "bad.py", "app.js", "latin.py"}
+    assert {r.path for r in found.collect()} == {"repo.py", "service.py", "deep.py", "app.js", "latin.py"}
     assert {(r.path, r.reason) for r in rejected.collect()} == {("build/skip.py", "excluded_path"), ("gen_pb2.py", "excluded_path"), ("blob.py", "binary")}
     by = {r.qualified_name: r for r in found.collect()}
     service, deep, repo, loop = (by[x] for x in ("service.Service", "deep.Deep", "repo.Repository", "deep.Loop"))
@@ -125,6 +126,26 @@ def test_other_languages(spark):
     assert got == {("a.js", "class", "Cart", None, 1, 6, 0), ("a.js", "method", "add", "Cart", 2, 6, 2), ("b.txt", "class", "MainComponent", None, 1, 2, 0), ("b.txt", "method", "execute", "MainComponent", 1, 2, 1)}
 
 
+def test_languages_by_their_parsers(spark, tree):
+    rows = {r.entity_id: r for r in A.analyze(spark, str(tree), compatible=True)[2].where("language <> 'python'").collect()}
+    cart, add, module = rows["cls:app.js:Cart:1"], rows["mth:app.js:add:2"], rows["mod:app.js"]
+    assert (cart.qualified_name, add.qualified_name, add.parent, module.qualified_name) == ("app.js.Cart", "app.js.Cart.add", "app.js.Cart", "app.js")
+    assert (cart.number_of_fields, cart.wmc, cart.loc, add.cyclomatic_complexity, add.parameter_count, add.maintainability_index) == (4.0, 1.0, 6.0, 2.0, 2.0, 0.0)
+    assert cart.is_default and cart.cyclomatic_complexity is None
+    plain = {r.entity_id: r for r in A.analyze(spark, str(tree))[2].where("language <> 'python'").collect()}
+    assert plain["mth:app.js:add:2"].cyclomatic_complexity is None and plain["mth:app.js:add:2"].loc == 5.0
+    smells = {(r.entity_id, r.smell) for r in A.detect(spark, str(tree), compatible=True).collect()}
+    assert ("cls:app.js:Cart:1", "data_class") in smells
+    assert A.wiring() == {"parsers": 2, "rules": 13, "class_features": 32, "method_features": 33, "function_features": 33, "module_features": 18}
+
+
+def test_summary_of_entities(spark, tree):
+    files = A.analyze(spark, str(tree))[0].where("language = 'python'").withColumn("project", F.lit("p"))
+    assert {r.entity_type: r.n for r in A.summary(P.parse_python(files)).collect()} == {"class": 4, "method": 4, "function": 0, "module": 4, "failed": 1, "unresolved_bases": 0}
+    with pytest.raises(ValueError):
+        A.vectors_of(spark.range(1).withColumn("entity_type", F.lit("class")), "class")
+
+
 def test_rules(spark):
     rows = [("a", "class", "A", [], [], 60.0, 0.9, 9.0), ("b", "class", "B", ["Enum"], [], 60.0, 0.9, 9.0), ("c", "class", "C", [], ["dataclass"], 200.0, 0.9, 30.0), ("d", "function", "d", [], [], 60.0, 0.9, 9.0), ("e", "class", "E", [], [], 188.0, 2.9, 20.0)]
     e = spark.createDataFrame(rows, "entity_id string, entity_type string, name string, base_names array<string>, decorators array<string>, wmc double, lcom_hs double, cbo double")
