@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.errors import require
 from quarry.functions import scores as S
 from quarry.functions import text as T
 
@@ -101,7 +102,104 @@ def retry(jobs: DataFrame) -> DataFrame:
 
 
 def delete_by(rows: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
-    return rows.join(doomed, key, "left_anti")
+    """rows without those whose key is doomed (DEL-1)."""
+    return rows.join(doomed.select(key).distinct(), key, "left_anti")
+
+
+def guarded_delete(tables: dict[str, DataFrame], root: str, doomed: DataFrame, key: str, cascade: dict[str, str], in_use: DataFrame | None = None) -> dict[str, DataFrame]:
+    """tables without the doomed rows of root, and without what hangs on them by cascade (table to its column); an error where one is in use (DEL-1).
+
+    in_use holds keys that must not go: projects with open jobs, models with predictions.
+    """
+    if in_use is not None:
+        held = doomed.select(key).join(in_use.select(key), key, "left_semi").distinct().limit(5).collect()
+        require(not held, "conflict", "rows are in use", keys=[r[0] for r in held])
+    out = {**tables, root: delete_by(tables[root], doomed, key)}
+    for name, column in cascade.items():
+        out[name] = delete_by(tables[name], doomed.select(F.col(key).alias(column)), column)
+    return out
+
+
+def active(jobs: DataFrame, by: str = "project_id") -> DataFrame:
+    """Keys with a job that is queued or runs (AGG-21)."""
+    return jobs.where(F.col("status").isin("queued", "running")).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def update_users(users: DataFrame, user_id, changes: dict) -> DataFrame:
+    """A user's row changed; the last enabled administrator can neither be disabled nor demoted (UPD-1)."""
+    out = patched(users, F.col("user_id") == user_id, {c: F.lit(v) for c, v in changes.items()})
+    before, after = (d.where((F.col("role") == "admin") & F.col("enabled")).count() for d in (users, out))
+    require(not (before and not after), "conflict", "the last administrator stays")
+    return out
+
+
+def found(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key; none is an error (LKP-1)."""
+    out = lookup(rows, key, value)
+    require(not out.isEmpty(), "not_found", "there is no such row", key=str(value))
+    return out
+
+
+def within(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the keys (JOIN-4)."""
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def explanations_of(explanations: DataFrame, predictions: DataFrame, job_id) -> DataFrame:
+    """Explanations of a job's predictions (JOIN-3)."""
+    return explanations.join(predictions.where(F.col("job_id") == job_id).select("prediction_id"), "prediction_id", "left_semi")
+
+
+def reports_of(reports: DataFrame, jobs: DataFrame, project_id) -> DataFrame:
+    """Reports of a project's jobs that have a file (JOIN-3)."""
+    return reports.where("path is not null").join(jobs.where(F.col("project_id") == project_id).select("job_id"), "job_id", "left_semi")
+
+
+def analysis_health(rows: DataFrame, group: str, priority: str) -> DataFrame:
+    """Per group: recommendations or findings, those of high priority, score and grade (VIEW-2)."""
+    c = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(priority) == "high").alias("high"))
+    score = F.greatest(F.lit(15), half_up(98 - 1.8 * F.col("n") - 3.5 * F.col("high")).cast("bigint"))
+    grade = F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").when(F.col("score") >= 60, "C").otherwise("D")
+    return c.withColumn("score", score).withColumn("grade", grade)
+
+
+def by_role(users: DataFrame, roles: tuple[str, ...] = ("admin", "analyst", "viewer")) -> DataFrame:
+    """Users of each role, enabled and in all; a role without users counts 0 (VIEW-4)."""
+    domain = users.sparkSession.createDataFrame([(r,) for r in roles], "role string")
+    n = users.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if("enabled").alias("enabled"))
+    return domain.join(n, "role", "left").fillna(0)
+
+
+#: Orders of result lists (SRT-3, SRT-5, SRT-6): column and whether the largest comes first.
+ORDERS = {
+    "findings": (("path", False), ("start_line", False), ("smell", False)),
+    "metrics": (("path", False), ("start_line", False), ("qualified_name", False)),
+    "events": (("created_at", False), ("event_id", False)),
+    "predictions": (("probability", True), ("prediction_id", False)),
+    "explanations": (("explanation_id", False),),
+    "recommendations": (("priority", True), ("recommendation_id", False)),
+    "projects": (("created_at", True), ("project_id", False)),
+    "jobs": (("queued_at", True), ("job_id", False)),
+    "reports": (("created_at", True), ("report_id", False)),
+    "audit": (("created_at", True), ("event_id", False)),
+    "models": (("smell_type", False), ("model_kind", False)),
+    "users": (("email", False),),
+}
+
+
+def in_order(rows: DataFrame, what: str, ranks: bool = True) -> list[Column]:
+    """The order of a result list, of those of its columns that rows has. Priorities go by rank, or as text where ranks is off."""
+    out = []
+    for c, down in ORDERS[what]:
+        if c in rows.columns:
+            x = F.array_position(F.array(*map(F.lit, ("low", "medium", "high"))), F.col(c)) if c == "priority" and ranks else F.col(c)
+            out.append(x.desc() if down else x.asc())
+    return out
+
+
+def listed(rows: DataFrame, what: str, limit: int = 100, offset: int = 0, ranks: bool = True) -> tuple[DataFrame, int]:
+    """A page of a result list in its order, and the number of all rows (LIM-1, SRT-6)."""
+    return page(rows, in_order(rows, what, ranks), limit, offset)
 
 
 def patched(rows: DataFrame, when: Column, values: dict[str, Column]) -> DataFrame:

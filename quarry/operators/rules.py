@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.errors import require
 from quarry.functions import scores as S
 
 MIN_SAMPLE = 20
+#: Entity types of the smells that rule files may name; further names are taken as the file has them.
+KNOWN_SMELLS = {
+    **dict.fromkeys(("god_class", "large_class", "data_class", "lazy_class", "refused_bequest", "brain_class", "shotgun_surgery", "divergent_change", "inappropriate_intimacy", "middle_man", "speculative_generality"), "class"),
+    **dict.fromkeys(("long_method", "brain_method", "feature_envy", "long_parameter_list", "deep_nesting", "complex_method", "message_chain", "magic_number", "dead_code", "duplicate_code"), "method"),
+}
 
 
 @dataclass(frozen=True)
@@ -81,23 +87,43 @@ def built_in() -> tuple[Rule, ...]:
     return tuple(_made(*r) for r in BUILT_IN)
 
 
-def load_rules(text: str) -> tuple[Rule, ...]:
-    """Rules from YAML text: version 1, exemption_sets, smells."""
+def load_rules(text: str, metrics: dict[str, tuple[str, ...]] | None = None) -> tuple[Rule, ...]:
+    """Rules from YAML text (RUL-10): version 1, exemption_sets, smells with entity_type, conditions, combinator, exempt_if, severity bands.
+
+    Smells must be known and fit their entity type; with metrics (names by entity type) each condition's metric must be
+    one of that type. Bands begin at positive excesses that grow with the severity.
+    """
     doc = yaml.safe_load(text) or {}
-    if doc.get("version") != 1 or not isinstance(doc.get("smells"), dict):
-        raise ValueError("version 1 and a mapping of smells are needed")
+    require(isinstance(doc, dict) and doc.get("version") == 1 and isinstance(doc.get("smells"), dict), "configuration_error", "version 1 and a mapping of smells are needed")
     keys, sets, out = ("base_class_matches", "decorated_with", "name_matches"), doc.get("exemption_sets") or {}, []
+    for name, body in sets.items():
+        require(isinstance(body, dict) and set(body) <= {*keys, "reason"}, "configuration_error", f"exemption set {name}: unknown keys", keys=sorted(set(body or {})))
     for smell, body in doc["smells"].items():
+        wrong = lambda ok, what: require(ok, "configuration_error", f"{smell}: {what}")  # noqa: E731, B023
+        wrong(isinstance(body, dict) and isinstance(body.get("conditions"), list) and body["conditions"], "conditions are missing")
+        kind = body.get("entity_type")
+        wrong(kind in ("module", "class", "method", "function"), "unknown entity type")
+        wrong(smell not in KNOWN_SMELLS or KNOWN_SMELLS[smell] == kind, "the smell is one of another entity type")
         exempt = body.get("exempt_if") or {}
-        if missing := set(exempt.get("use", ())) - set(sets):
-            raise ValueError(f"{smell}: unknown exemption sets {sorted(missing)}")
+        wrong(not set(exempt.get("use", ())) - set(sets), "unknown exemption sets")
         parts = [tuple(tuple(e.get(k) or ()) for k in keys) for e in [*(sets[u] for u in exempt.get("use", ())), exempt]]
-        out.append(_made(smell, body["entity_type"], body.get("combinator", "all"), parts, [(c["metric"], c["op"], c["absolute"], c.get("percentile")) for c in body["conditions"]]))
+        for c in body["conditions"]:
+            wrong(isinstance(c, dict) and {"metric", "op", "absolute"} <= set(c), "a condition has metric, op and absolute")
+            wrong(isinstance(c["absolute"], (int, float)) and not isinstance(c["absolute"], bool), "a threshold is a number")
+            wrong(metrics is None or c["metric"] in metrics.get(kind, ()), f"unknown metric {c['metric']}")
+        bands = body.get("severity") or {}
+        wrong(isinstance(bands, dict) and set(bands) <= set(S.BANDS), "unknown severity")
+        bands = {**S.BANDS, **{k: float(v) for k, v in bands.items()}}
+        starts = [bands[k] for k in S.BANDS]
+        wrong(starts == sorted(starts) and starts[0] > 0, "bands begin at positive excesses that grow")
+        made = _made(smell, kind, body.get("combinator", "all"), parts, [(c["metric"], c["op"], c["absolute"], c.get("percentile")) for c in body["conditions"]])
+        out.append(replace(made, bands=bands))
     return tuple(out)
 
 
 def ruleset_hash(rules: tuple[Rule, ...]) -> str:
-    plain = [[r.smell, r.entity_type, r.combinator, [[c.metric, c.op, c.absolute, c.percentile] for c in r.conditions], r.bases, r.decorators, r.names] for r in sorted(rules, key=lambda r: r.smell)]
+    """SHA-256 of everything that decides what the rules find (RUL-11)."""
+    plain = [[r.smell, r.entity_type, r.combinator, [[c.metric, c.op, c.absolute, c.percentile] for c in r.conditions], r.bases, r.decorators, r.names, sorted(r.bands.items())] for r in sorted(rules, key=lambda r: r.smell)]
     return hashlib.sha256(json.dumps(plain, sort_keys=True).encode()).hexdigest()
 
 
@@ -164,15 +190,18 @@ def _finding(rule: Rule, relative: dict[str, Column], columns: list[str], mode:
     return F.when(fires, F.struct(F.lit(rule.smell).alias("smell"), S.severity(weakest, rule.bands).alias("severity"), weakest.alias("excess"), evidence.cast(EVIDENCE).alias("evidence")))
 
 
-def detect(entities: DataFrame, rules: tuple[Rule, ...] | None = None, mode: str = "absolute", project: str | None = None) -> DataFrame:
+def detect(entities: DataFrame, rules: tuple[Rule, ...] | None = None, mode: str = "absolute", project: str | None = None, partial: bool = False) -> DataFrame:
     """Findings of wide entities (entity_id, entity_type, metric columns, optional name, base_names, decorators).
 
     The rules become one projection: no shuffle in absolute mode. In percentile mode every (project, entity type)
     gives one row of thresholds, which is joined back by broadcast where the optimiser finds it small (RUL-6, RUL-7).
-    Rules of which a condition has no percentile are left out in that mode.
+    Rules of which a condition has no percentile are left out in that mode. Rules whose metrics are not all columns are an
+    error, or left out where partial is set.
     """
     rules = [r for r in rules or built_in() if mode == "absolute" or r.relative()]
-    known = [r for r in rules if all(c.metric in entities.columns for c in r.conditions)]
+    lost = {r.smell: [c.metric for c in r.conditions if c.metric not in entities.columns] for r in rules}
+    require(partial or not any(lost.values()), "configuration_error", "rules need metrics that the entities lack", metrics={k: v for k, v in lost.items() if v})
+    known = [r for r in rules if not lost[r.smell]]
     relative: dict[str, Column] = {}
     if mode == "percentile" and known:
         wanted = sorted({(c.metric, c.percentile) for r in known for c in r.conditions})
@@ -221,6 +250,13 @@ def summary(entities: DataFrame, findings: DataFrame) -> DataFrame:
     return e.join(f, F.lit(True))
 
 
+def explain(finding_columns: tuple[str, ...] = ("smell", "name", "severity", "evidence")) -> Column:
+    """A finding as a sentence: what, where, how severe, and the conditions that hold (RUL-9)."""
+    smell, name, severity, evidence = map(F.col, finding_columns)
+    held = F.filter(evidence, lambda e: e["satisfied"])
+    return F.concat(F.initcap(F.replace(smell, F.lit("_"), F.lit(" "))), F.lit(" in "), name, F.lit(" ("), severity, F.lit("): "), describe(held))
+
+
 def describe(evidence: Column) -> Column:
     """Evidence as text: metric observed operator threshold, joined by ; (RUL-9)."""
     return F.array_join(F.transform(evidence, lambda e: F.format_string("%s %s %s %s", e["metric"], e["observed"].cast("string"), e["operator"], e["threshold"].cast("string"))), "; ")

@@ -198,12 +198,15 @@ def features_of(files: DataFrame, compatible: bool = False) -> DataFrame:
 
 
 def analyze(spark: SparkSession, source: str, project: str | None = None, compatible: bool = False, work: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(source files, rejections, features) of a folder, an archive, a file or a repository."""
+    """(source files, rejections, features) of a folder, an archive, a file or a repository.
+
+    Features are computed once and kept in the checkpoint folder: rules, bundles and models all start from them.
+    """
     ensure_checkpoint_dir(spark)
     opened = open_source(spark, source, work)
     files, rejected = I.inventory(opened.files)
     rows = files.withColumn("project", F.lit(project or opened.name))
-    return files, opened.rejected.unionByName(rejected), features_of(rows, compatible)
+    return files, opened.rejected.unionByName(rejected), features_of(rows, compatible).checkpoint()
 
 
 def detect(spark: SparkSession, source: str, mode: str = "absolute", floor: str = "low", compatible: bool = False, rules: tuple[R.Rule, ...] | None = None) -> DataFrame:

@@ -88,14 +88,21 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.concat(F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1), end).alias("path"), F.length("html").cast("bigint").alias("size"))
 
 
-@bound(f"""WITH {PATHS} SELECT page_id, CASE WHEN page_id % 7 = 4 THEN 'excluded_path' WHEN page_id % 7 IN (1, 6) THEN 'disallowed_suffix' WHEN page_id % 7 = 2 THEN 'excluded_path' WHEN page_id % 7 = 5 THEN 'excluded_path' WHEN size > 2000 THEN 'member_too_large' END AS reason,
-CASE WHEN page_id % 7 = 4 THEN 'in build/' WHEN page_id % 7 IN (1, 6) THEN '' WHEN page_id % 7 = 2 THEN 'generated source' WHEN page_id % 7 = 5 THEN 'test code' WHEN size > 2000 THEN size || ' > 2000' END AS detail FROM paths""")
+_NAMED = rf"{PATHS}, n AS (SELECT *, lower(regexp_extract(path, '[^/]*$')) AS name, regexp_extract(path, '(?:^|/)({'|'.join(x.replace('.', chr(92) + '.') for x in I.EXCLUDED_DIRS)}|\.[^/]+|[^/]+\.egg-info)/', 1) AS bad FROM paths)"
+
+
+@bound(rf"""WITH {_NAMED}, r AS (SELECT *, CASE WHEN bad NOT IN ('', '.', '..') THEN 'excluded_path' WHEN regexp_matches(name, '(\.min\.py|\.py[cod]|\.so|\.dll|\.class|\.jar)$') THEN 'disallowed_suffix' WHEN regexp_matches(name, '_pb2\.py|_pb2_grpc\.py|_generated\.py|\.g\.py|_ui\.py') THEN 'generated'
+ WHEN regexp_matches(name, '^test_|_test\.py$') OR regexp_matches(lower(path), '(^|/)tests?/') THEN 'test' WHEN size > 2000 THEN 'member_too_large' END AS why FROM n)
+SELECT page_id, CASE WHEN why IN ('generated', 'test') THEN 'excluded_path' ELSE why END AS reason, CASE why WHEN 'excluded_path' THEN 'in ' || bad || '/' WHEN 'generated' THEN 'generated source' WHEN 'test' THEN 'test code' WHEN 'disallowed_suffix' THEN '' WHEN 'member_too_large' THEN size || ' > 2000' END AS detail FROM r""")
 def file_screen_reasons(spark: SparkSession, d: str) -> DataFrame:
     no = I.screen(F.col("path"), F.col("size"), include_tests=False, max_bytes=2000)
     return _paths(spark, d).select("page_id", no["reason"].alias("reason"), no["detail"].alias("detail"))
 
 
-@bound(f"WITH {PATHS} SELECT CASE WHEN page_id % 7 IN (0, 3) AND regexp_matches(path, '(^|/)[.][A-Za-z]+$') THEN 'other' ELSE CASE page_id % 7 WHEN 3 THEN 'javascript' WHEN 4 THEN 'go' WHEN 5 THEN 'rust' WHEN 6 THEN 'other' ELSE 'python' END END AS language, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_bytes FROM paths GROUP BY 1")
+_SUFFIXES = ", ".join(f"('{k}', '{v}')" for k, v in T.LANGUAGES.items())
+
+
+@bound(rf"WITH {PATHS}, s AS (SELECT size, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '[^.](\.[^.]+)$', 1)) AS x FROM paths) SELECT coalesce(l, 'other') AS language, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_bytes FROM s LEFT JOIN (VALUES {_SUFFIXES}) v(k, l) ON k = x GROUP BY 1")
 def language_of_paths(spark: SparkSession, d: str) -> DataFrame:
     return _paths(spark, d).groupBy(T.language(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_bytes"))
 
@@ -129,15 +136,20 @@ def project_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return I.fingerprint(table(spark, d, "documents").withColumn("sha", F.sha2("text", 256)), "source", "doc_id", "sha")
 
 
-@bound(r"""WITH l AS (SELECT page_id, unnest(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10))) AS x, generate_subscripts(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10)), 1) AS i FROM pages),
-m AS (SELECT *, regexp_extract(x, '^\s*(?:public|private|protected|export|abstract|final|static)*\s*(?:class|interface|struct|type|enum)\s+([A-Za-z0-9_]+)', 1) AS c,
- regexp_extract(x, '^\s*(?:public|private|protected|export|async|static|function|func|fn|def|void|int|float|double|char|boolean|bool|String|var|let|const)*\s*([A-Za-z0-9_]+)\s*\(([^)]*)\)', 1) AS f, max(i) OVER (PARTITION BY page_id) AS n FROM l),
-e AS (SELECT page_id, CASE WHEN c <> '' THEN 'class' ELSE 'method' END AS entity_type, CASE WHEN c <> '' THEN c ELSE f END AS name, i AS start_line, least(n, i + CASE WHEN c <> '' THEN 40 ELSE 15 END) AS end_line FROM m WHERE c <> '' OR (f <> '' AND f NOT IN ('if','for','while','switch','catch','return','class','interface','struct')))
-SELECT page_id, entity_type, name, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line FROM e
-UNION ALL SELECT page_id, t, CASE t WHEN 'class' THEN 'MainComponent' ELSE 'execute' END, 1, CAST(max(n) AS INT) FROM m, (VALUES ('class'), ('method')) v(t) WHERE page_id NOT IN (SELECT page_id FROM e) GROUP BY 1, 2""")
+_FUNCTION = r"^\s*(?:public|private|protected|export|async|static|function|func|fn|def|void|int|float|double|char|boolean|bool|String|var|let|const)*\s*([A-Za-z0-9_]+)\s*\(([^)]*)\)"
+_BROKEN = "string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10))"
+
+
+@bound(rf"""WITH l AS (SELECT page_id, unnest({_BROKEN}) AS x, generate_subscripts({_BROKEN}, 1) AS i FROM pages),
+m AS (SELECT *, regexp_extract(x, '^\s*(?:public|private|protected|export|abstract|final|static)*\s*(?:class|interface|struct|type|enum)\s+([A-Za-z0-9_]+)', 1) AS c, regexp_extract(x, '{_FUNCTION}', 1) AS f, regexp_extract(x, '{_FUNCTION}', 2) AS a, max(i) OVER (PARTITION BY page_id) AS n FROM l),
+o AS (SELECT *, last_value(CASE WHEN c <> '' THEN c END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS owner FROM m),
+e AS (SELECT page_id, CASE WHEN c <> '' THEN 'class' ELSE 'method' END AS entity_type, CASE WHEN c <> '' THEN c ELSE f END AS name, CASE WHEN c = '' THEN owner END AS owner, i AS start_line, least(n, i + CASE WHEN c <> '' THEN 40 ELSE 15 END) AS end_line,
+ CASE WHEN c <> '' THEN 0 ELSE len(list_filter(string_split(a, ','), lambda y: trim(y) <> '')) END AS parameter_count FROM o WHERE c <> '' OR (f <> '' AND f NOT IN ('if','for','while','switch','catch','return','class','interface','struct')))
+SELECT page_id, entity_type, name, owner, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, CAST(parameter_count AS INT) AS parameter_count FROM e
+UNION ALL SELECT page_id, t, CASE t WHEN 'class' THEN 'MainComponent' ELSE 'execute' END, CASE t WHEN 'method' THEN 'MainComponent' END, 1, CAST(max(n) AS INT), CASE t WHEN 'class' THEN 0 ELSE 1 END FROM m, (VALUES ('class'), ('method')) v(t) WHERE page_id NOT IN (SELECT page_id FROM e) GROUP BY 1, 2""")
 def universal_entities(spark: SparkSession, d: str) -> DataFrame:
     found = P.parse_lines(table(spark, d, "pages"), "page_id", F.replace("html", F.lit("><"), F.lit(">\n<")))
-    return found.select("page_id", "entity_type", "name", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+    return found.select("page_id", "entity_type", "name", "owner", *[F.col(c).cast("int").alias(c) for c in ("start_line", "end_line", "parameter_count")])
 
 
 @bound(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS o, regexp_extract_all(text, '[.,;:!?|]') AS p FROM documents),
@@ -546,6 +558,9 @@ def last_wins(spark: SparkSession, d: str) -> DataFrame:
     return G.keep_wins(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@bound("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@bound("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def missing_ids(spark: SparkSession, d: str) -> DataFrame:
-    return Q.missing(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return Q.missing(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+from quarry.plans import bindings_runs  # noqa: E402, F401  (registers its queries)
