@@ -238,9 +238,9 @@ def threshold_summary(spark: SparkSession, d: str) -> DataFrame:
     return R.threshold_summary(R.percentiles(e, [("wmc", 75), ("loc", 90)], ["project"]), ["project"])
 
 
-@bound(f"WITH {ENTITIES} SELECT entity_id, 'Big in ' || name || ' (' || {{band}} || '): loc ' || CAST(loc AS VARCHAR) || ' > 200.0; wmc ' || CAST(wmc AS VARCHAR) || ' >= 8.0' AS said FROM e WHERE loc > 200 AND wmc >= 8".replace("{band}", "CASE WHEN least(loc / 200, wmc / 8) >= 4 THEN 'critical' WHEN least(loc / 200, wmc / 8) >= 2.5 THEN 'high' WHEN least(loc / 200, wmc / 8) >= 1.5 THEN 'medium' ELSE 'low' END"))
+@bound(f"WITH {ENTITIES}, {FOUND} SELECT entity_id, 'Lazy in ' || name || ' (' || severity || '): wmc ' || CAST(wmc AS VARCHAR) || ' <= 3.0; number_of_methods ' || CAST(number_of_methods AS VARCHAR) || ' < 3.0' AS said FROM findings JOIN e USING (entity_id) WHERE smell = 'lazy'")
 def finding_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return R.detect(_entities(spark, d), DEMO[:1]).select("entity_id", R.explain().alias("said"))
+    return R.detect(_entities(spark, d), DEMO[2:]).select("entity_id", R.explain().alias("said"))
 
 
 # ---------------------------------------------------------------- review data
