@@ -195,12 +195,14 @@ def detect(entities: DataFrame, rules: tuple[Rule, ...] | None = None, mode: str
 
     The rules become one projection: no shuffle in absolute mode. In percentile mode every (project, entity type)
     gives one row of thresholds, which is joined back by broadcast where the optimiser finds it small (RUL-6, RUL-7).
-    Rules of which a condition has no percentile are left out in that mode. Rules whose metrics are not all columns are an
-    error, or left out where partial is set.
+    Rules of which a condition has no percentile are left out in that mode. Without rules the built-in ones apply whose
+    metrics the entities have; given rules whose metrics are not all columns are an error, or left out where partial is set.
+    lacking() tells which these are.
     """
+    own = rules is None
     rules = [r for r in rules or built_in() if mode == "absolute" or r.relative()]
     lost = {r.smell: [c.metric for c in r.conditions if c.metric not in entities.columns] for r in rules}
-    require(partial or not any(lost.values()), "configuration_error", "rules need metrics that the entities lack", metrics={k: v for k, v in lost.items() if v})
+    require(partial or own or not any(lost.values()), "configuration_error", "rules need metrics that the entities lack", metrics={k: v for k, v in lost.items() if v})
     known = [r for r in rules if not lost[r.smell]]
     relative: dict[str, Column] = {}
     if mode == "percentile" and known:
@@ -216,6 +218,12 @@ def detect(entities: DataFrame, rules: tuple[Rule, ...] | None = None, mode: str
     return entities.select(*keep, F.explode(found).alias("f")).select(*keep, "f.*")
 
 
+def lacking(entities: DataFrame, rules: tuple[Rule, ...] | None = None) -> dict[str, list[str]]:
+    """Rules that detect() cannot apply, with the metrics that the entities lack."""
+    lost = {r.smell: [c.metric for c in r.conditions if c.metric not in entities.columns] for r in rules or built_in()}
+    return {k: v for k, v in lost.items() if v}
+
+
 def detect_long(values: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings (entity_id, smell, severity) of long values (entity_id, entity_type, metric, value), absolute mode.
 

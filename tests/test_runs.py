@@ -207,8 +207,9 @@ def test_rule_files(spark):
             R.load_rules(text.replace(*wrong), A.SCHEMA)
     e = spark.createDataFrame([("a", "class", 50.0)], "entity_id string, entity_type string, wmc double")
     with pytest.raises(ValueError):
-        R.detect(e)
-    assert R.detect(e, partial=True).count() == 0 and R.detect(e, (rule,)).count() == 1
+        R.detect(e, R.built_in())
+    assert R.detect(e, R.built_in(), partial=True).count() == 0 and R.detect(e, (rule,)).count() == 1
+    assert R.lacking(e)["god_class"] == ["lcom_hs", "cbo"] and not R.lacking(e, (rule,))
 
 
 def test_small_functions(spark):
