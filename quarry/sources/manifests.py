@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tomllib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +22,32 @@ HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
 _NAME = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)"
 
 
+#: Tables of pyproject.toml that tell a build tool.
+PYPROJECT = {"tool.poetry": "poetry", "tool.pdm": "pdm", "tool.hatch": "hatch"}
+
+
+def _table(data: dict, path: str):
+    """What stands at a dotted path, or None."""
+    for key in path.split("."):
+        data = data.get(key) if isinstance(data, dict) else None
+    return data
+
+
 def pyproject(text: str) -> tuple[list[str], list[str]]:
     """(build tools, dependencies) of one pyproject.toml; nothing where it does not parse."""
     try:
         data = tomllib.loads(text)
     except tomllib.TOMLDecodeError:
         return [], []
-    tool = data.get("tool") if isinstance(data.get("tool"), dict) else {}
-    tools = [t for t in ("poetry", "pdm", "hatch") if t in tool] or (["setuptools"] if "project" in data else [])
-    listed = [m[1].lower() for d in (data.get("project") or {}).get("dependencies") or () if isinstance(d, str) and (m := re.match(_NAME, d))]
-    poetry = tool.get("poetry") if isinstance(tool.get("poetry"), dict) else {}
-    return tools, listed + [d.lower() for d in poetry.get("dependencies") or () if d.lower() != "python"]
+    tools = [tool for path, tool in PYPROJECT.items() if _table(data, path) is not None]
+    listed = {path: _table(data, path) or () for path in ("project.dependencies", "tool.poetry.dependencies")}
+    names = [m[1].lower() for path, xs in listed.items() for x in xs if isinstance(x, str) and (m := re.match(_NAME, x)) and (path, m[1].lower()) != ("tool.poetry.dependencies", "python")]
+    return tools or ["setuptools"] * ("project" in data), names
+
+
+def _tools_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([t for text in batch.column(0).to_pylist() for t in pyproject(text or "")[0]], pa.string())], ["tool"])
 
 
 def requirements(files: DataFrame) -> DataFrame:
@@ -46,8 +63,7 @@ def build_tools(files: DataFrame) -> DataFrame:
     top = files.where(~F.col("path").contains("/"))
     pairs = [F.lit(x) for kv in TOOLS.items() for x in kv]
     marked = top.select(F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("path")), F.when(F.lower("path").rlike(r"^requirements.*\.txt$"), "pip")).alias("tool")).where("tool is not null")
-    found = [t for r in top.where("path = 'pyproject.toml'").select("text").collect() for t in pyproject(r["text"])[0]]
-    more = files.sparkSession.createDataFrame([(t,) for t in found], "tool string")
+    more = top.where("path = 'pyproject.toml'").select("text").mapInArrow(_tools_in, "tool string")
     every = marked.union(more).distinct()
     return every if not every.isEmpty() else files.sparkSession.createDataFrame([("unknown",)], "tool string")
 
