@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chaining, chat, decontaminate, lines, minhash, packing, pipeline, quality, surrogates, toxicity
+from quarry.llm import bpe, chaining, chat, decontaminate, lines, minhash, packing, pipeline, quality, repair, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,11 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_surrogates": surrogates.op8_surrogates,
     "op9_quality": quality.op9_quality,
     "op10_templates": decontaminate.op10_templates,
+    "op11_repair": repair.op11_repair,
     "pipeline": pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op4_line_windows": lines.ORACLE,
     "op7_chat": chat.ORACLE,
+    "op11_repair": repair.ORACLE,
 }
 
 
