@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import alignment, bpe, chaining, chat, decontaminate, lines, minhash, packing, pipeline, quality, repair, surrogates, toxicity
+from quarry.llm import alignment, bpe, chaining, chat, decontaminate, langid, lines, minhash, packing, pipeline, quality, repair, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": quality.op9_quality,
     "op10_templates": decontaminate.op10_templates,
     "op11_repair": repair.op11_repair,
+    "op12_langid": langid.op12_langid,
     "op13_alignment": alignment.op13_alignment,
     "pipeline": pipeline.run,
 }
