@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read, written
+from quarry.llm.common import broadcast_if_small, read, written
 
 FOLDS, HELD_OUT = 4, 2
 #: The network is fitted on at most so many documents of each language, and at most so many words in all.
@@ -312,8 +312,12 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Network:
     """A network from the bounded sample of docs (doc_id, text, lang) that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct().withColumn("k", F.row_number().over(first))
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "doc_id")
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
+    # of a large language only the least hashes are ranked: some twice the documents that are wanted
+    hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).join(broadcast_if_small(sizes), "lang")
+    low = F.pmod(F.col("h"), F.lit(1 << 30)) * F.col("size") <= F.lit(2 * max_docs << 30)
+    ranked = hashed.where(low).drop("size").distinct().withColumn("k", F.row_number().over(first))
     ids = written(ranked.where(F.col("k") <= max_docs).select("lang", "doc_id"), "sample")
     picked = rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")
     counts = picked.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
