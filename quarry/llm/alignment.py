@@ -43,7 +43,7 @@ from quarry.llm.common import broadcast_if_small, read, text_of, written
 
 #: A task's word list closes after so many units, so many different ones, or so many bytes of different ones.
 CHUNK_UNITS = 8_000_000
-CHUNK_DISTINCT = 500_000
+CHUNK_DISTINCT = 400_000
 CHUNK_BYTES = 1 << 26
 #: Units of the documents that share a row.
 BLOCK_UNITS = 1 << 18
@@ -53,7 +53,7 @@ PARTS = (64, 1 << 20)
 #: Units that are tokenized in one call.
 CALL = 4096
 #: Units whose values share a row on their way to a part.
-VALUES = 1 << 16
+VALUES = 1 << 15
 
 _CUTS = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -169,7 +169,7 @@ def _chunks(paths: tuple[str, str], parts: int):
         def of(text: str) -> np.ndarray:
             """A text's codes; none where a side fails."""
             if not text:
-                return np.empty(0, np.int64)
+                return np.empty(0, np.uint32)
             got = np.array(list(map(codes.__getitem__, text.replace("\n", " \n").split(" "))), np.int64)
             low = got.min()
             if low == -1 or (low < 0 and (got == -1).any()):
@@ -183,7 +183,7 @@ def _chunks(paths: tuple[str, str], parts: int):
                     out.append(c)
                 got = np.array(out, np.int64)
                 low = got.min()
-            return got if low >= 0 else np.empty(0, np.int64)
+            return got.astype(np.uint32) if low >= 0 else np.empty(0, np.uint32)
 
         chunk, seen = 0, 0
         ids: list = []
@@ -191,17 +191,19 @@ def _chunks(paths: tuple[str, str], parts: int):
 
         def closed() -> Iterator[pa.RecordBatch]:
             """Codes are ranks by frequency: most are small then, and compress well."""
+            sizes = [len(r) for r in rows]
             every = np.concatenate(rows)
+            rows.clear()
             counts = np.bincount(every, minlength=len(codes.names))
             order = np.argsort(-counts, kind="stable")
             order = order[: np.count_nonzero(counts)]
             rank = np.zeros(len(counts), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            every, ends = rank[every], np.cumsum([len(r) for r in rows])
+            every, ends = rank[every], np.cumsum(sizes)
             at, first = 0, 0
-            for i in range(len(rows)):
-                if ends[i] - at >= BLOCK_UNITS or i + 1 - first >= BLOCK_UNITS // 64 or i + 1 == len(rows):
-                    yield _batch([(task | chunk, -1, ids[first : i + 1], [len(r) for r in rows[first : i + 1]], _planes(every[at : ends[i]]), None, None, None)], _CHUNK)
+            for i in range(len(sizes)):
+                if ends[i] - at >= BLOCK_UNITS or i + 1 - first >= BLOCK_UNITS // 64 or i + 1 == len(sizes):
+                    yield _batch([(task | chunk, -1, ids[first : i + 1], sizes[first : i + 1], _planes(every[at : ends[i]]), None, None, None)], _CHUNK)
                     at, first = ends[i], i + 1
             named = [codes.names[i].encode() for i in order.tolist()]
             part = np.fromiter(map(zlib.crc32, named), np.uint32, len(named)) % parts
