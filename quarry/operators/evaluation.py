@@ -153,6 +153,11 @@ def tune(train: DataFrame, features: list[str], label: str, project: str, grid:
     return best[1]
 
 
+def direction(contribution: Column) -> Column:
+    """What a contribution does to the risk; none at all counts with the increases."""
+    return F.when(contribution >= 0, "increases_smell_risk").otherwise("decreases_smell_risk")
+
+
 def top_attributions(rows: DataFrame, key: list[str], contributions: Column, k: int = 8) -> DataFrame:
     """Long rows (key, feature number, contribution, direction, rank) of the k largest by size; ties by number (XAI-4).
 
@@ -160,8 +165,7 @@ def top_attributions(rows: DataFrame, key: list[str], contributions: Column, k:
     """
     pairs = F.transform(contributions, lambda c, i: F.struct((-F.abs(c)).alias("o"), i.alias("feature"), c.alias("contribution")))
     ranked = rows.select(*key, F.posexplode(F.slice(F.array_sort(pairs), 1, k)).alias("r", "t"))
-    direction = F.when(F.col("t.contribution") > 0, "increases").when(F.col("t.contribution") < 0, "decreases").otherwise("neutral")
-    return ranked.select(*key, F.col("t.feature").alias("feature"), F.col("t.contribution").alias("contribution"), direction.alias("direction"), (F.col("r") + 1).alias("rank"))
+    return ranked.select(*key, F.col("t.feature").alias("feature"), F.col("t.contribution").alias("contribution"), direction(F.col("t.contribution")).alias("direction"), (F.col("r") + 1).alias("rank"))
 
 
 def linear_contributions(x: Column, coef: list[float]) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.errors import require
+from quarry.errors import QuarryError, require
+from quarry.operators import attribution as T
 from quarry.operators import evaluation as E
 
 TOP = 8
@@ -32,15 +33,26 @@ def ranked(names: list[str], x: Column, contributions: Column, k: int = TOP) ->
     """
     one = lambda c, i: F.struct((-F.abs(c)).alias("o"), i.alias("i"), c.alias("c"))
     label = F.array(*map(F.lit, names))
-    out = lambda s, r: F.struct(F.get(label, s["i"]).alias("feature"), finite(F.get(x, s["i"])).alias("raw_value"), finite(s["c"]).alias("contribution"), F.when(s["c"] >= 0, "increases").otherwise("decreases").alias("direction"), finite(F.abs(s["c"])).alias("importance"), (r + 1).alias("rank"))
+    out = lambda s, r: F.struct(F.get(label, s["i"]).alias("feature"), finite(F.get(x, s["i"])).alias("raw_value"), finite(s["c"]).alias("contribution"), E.direction(s["c"]).alias("direction"), finite(F.abs(s["c"])).alias("importance"), (r + 1).alias("rank"))
     return F.transform(F.slice(F.array_sort(F.transform(contributions, one)), 1, k), out)
 
 
+def _trees(model) -> T.Ensemble | None:
+    """The model's trees, or None where it has none that Shapley values are defined for."""
+    if not hasattr(model, "featureImportances"):
+        return None
+    try:
+        return T.of_model(model)
+    except QuarryError:
+        return None
+
+
 def explain(model, names: list[str], rows: DataFrame, k: int = TOP) -> DataFrame:
     """rows with method, base_value, output_value and top_features, by what the model is (XAI-6).
 
-    A pipeline with a scaler and a linear model gives its terms; one of trees their importances times the distance from
-    the row's median (XAI-2); any other the values themselves (XAI-3).
+    A pipeline with a scaler and a linear model gives its terms; one of trees of two classes, or of a number, exact Shapley
+    values (XAI-2, operators.attribution); other trees their importances times the distance from the row's median; any
+    other model the values themselves (XAI-3).
     """
     require(k >= 1, "ml_error", "one feature at least")
     require(not [n for n in names if n not in rows.columns], "ml_error", "the rows lack features", missing=[n for n in names if n not in rows.columns])
@@ -51,6 +63,11 @@ def explain(model, names: list[str], rows: DataFrame, k: int = TOP) -> DataFrame
         scaler = next(s for s in model.stages if hasattr(s, "mean"))
         got = linear(x, scaler.mean.toArray().tolist(), scaler.std.toArray().tolist(), last.coefficients.toArray().tolist(), last.intercept)
         method, parts, base, output = "linear_contribution", got["contributions"], got["base"], got["output"]
+    elif (trees := _trees(last)) is not None:
+        parts = T.contributions(x, trees, len(names))
+        method, base = "tree_shapley", F.lit(trees.base)
+        data = data.withColumn("_c", parts)
+        parts, output = F.col("_c"), F.lit(trees.base) + F.aggregate("_c", F.lit(0.0), lambda s, v: s + v)
     elif hasattr(last, "featureImportances"):
         parts = E.tree_contributions(x, last.featureImportances.toArray().tolist())
         method, base, output = "tree_importance_fallback", F.lit(None).cast("double"), F.lit(None).cast("double")

@@ -481,7 +481,7 @@ _first = lambda: F.slice("embedding", 1, 8)
 
 
 @bound(f"""WITH u AS (SELECT vec_id, unnest(embedding[1:8]) AS x, unnest({COEF}) AS w, unnest(range(8)) AS f FROM embeddings), c AS (SELECT vec_id, f, CAST(x AS DOUBLE) * w AS v, row_number() OVER (PARTITION BY vec_id ORDER BY abs(CAST(x AS DOUBLE) * w) DESC, f) AS r FROM u)
-SELECT vec_id, CAST(f AS INT) AS feature, round(v, 6) AS contribution, CASE WHEN v > 0 THEN 'increases' WHEN v < 0 THEN 'decreases' ELSE 'neutral' END AS direction, CAST(r AS INT) AS rank FROM c WHERE r <= 3""")
+SELECT vec_id, CAST(f AS INT) AS feature, round(v, 6) AS contribution, CASE WHEN v >= 0 THEN 'increases_smell_risk' ELSE 'decreases_smell_risk' END AS direction, CAST(r AS INT) AS rank FROM c WHERE r <= 3""")
 def linear_attribution_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(E.top_attributions(table(spark, d, "embeddings"), ["vec_id"], E.linear_contributions(_first(), COEF), 3))
 
@@ -563,4 +563,4 @@ def missing_ids(spark: SparkSession, d: str) -> DataFrame:
     return Q.missing(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-from quarry.plans import bindings_runs  # noqa: E402, F401  (registers its queries)
+from quarry.plans import bindings_models, bindings_runs  # noqa: E402, F401  (register their queries)

@@ -399,7 +399,7 @@ _MEAN, _SD, _COEF = [0.1, -0.2, 0.05, 0.0], [1.5, 0.5, 0.0, 2.0], [1.0, -2.0, 3.
 
 @bound(f"""WITH u AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), v AS (SELECT vec_id, (i - 1) % 4 AS f, avg(CAST(x AS DOUBLE)) AS x FROM u GROUP BY 1, 2),
 w AS (SELECT vec_id, f, x, CASE WHEN ({_SD})[f + 1] = 0 THEN 0 ELSE (x - ({_MEAN})[f + 1]) / ({_SD})[f + 1] * ({_COEF})[f + 1] END AS c FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(c) DESC, f) AS rank, 0.25 + sum(c) OVER (PARTITION BY vec_id) AS output FROM w)
-SELECT vec_id, 'f' || f AS feature, round(x, 6) AS raw_value, round(c, 6) AS contribution, CASE WHEN c >= 0 THEN 'increases' ELSE 'decreases' END AS direction, CAST(rank AS INT) AS rank, round(output, 6) AS output_value FROM r WHERE rank <= 2""")
+SELECT vec_id, 'f' || f AS feature, round(x, 6) AS raw_value, round(c, 6) AS contribution, CASE WHEN c >= 0 THEN 'increases_smell_risk' ELSE 'decreases_smell_risk' END AS direction, CAST(rank AS INT) AS rank, round(output, 6) AS output_value FROM r WHERE rank <= 2""")
 def linear_explanations(spark: SparkSession, d: str) -> DataFrame:
     # a vector's means over every fourth of its values are the features
     e = table(spark, d, "embeddings")

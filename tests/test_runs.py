@@ -82,7 +82,7 @@ def test_explanations(spark, rows):
         assert 1 / (1 + math.exp(-r.output_value)) == pytest.approx(scored[r.task_id])
         assert r.base_value + sum(t.contribution for t in r.top_features) == pytest.approx(r.output_value)
     tree = L.estimator("decision_tree", mine, names, Training())[0]
-    assert X.explain(tree, names, mine).first().method == "tree_importance_fallback"
+    assert X.explain(tree, names, mine).first().method == "tree_shapley"
     assert X.explain(object(), names, mine).first().method == "value_deviation_fallback"
     with pytest.raises(errors.QuarryError):
         X.explain(model, ["nothing"], mine)
