@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 32
-
 
 def keep_wins(rows: DataFrame, key: str, order: str, last: bool = True) -> DataFrame:
     """One row for each key: the last (or first) in order (GRA-1, SET-3)."""
@@ -45,23 +43,76 @@ def priority_lookup(left: DataFrame, key: str, *tables: tuple[DataFrame, str, st
     return out.withColumn("found", F.coalesce(*names)).drop(*names)
 
 
-def inheritance_depth(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, dit): longest path up the edges (child, parent); a self edge counts 1, cycles stop at max_depth (GRA-4).
+def _grown(pairs: DataFrame, measure: list) -> tuple[DataFrame, tuple]:
+    """pairs (src, dst, d) with every two joined end to end, the longest kept, and what measure says of them."""
+    ahead = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("d").alias("more"))
+    longer = pairs.join(ahead, "dst").select("src", F.col("to").alias("dst"), (F.col("d") + F.col("more")).alias("d"))
+    out = pairs.union(longer).groupBy("src", "dst").agg(F.max("d").alias("d")).checkpoint()
+    return out, tuple(out.agg(*measure).first())
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """All (src, dst) with a path of edges (src, dst) from one to the other; each round doubles the paths' length."""
+    pairs = edges.select("src", "dst").distinct().withColumn("d", F.lit(0).cast("bigint"))
+    before = None
+    while True:
+        pairs, now = _grown(pairs, [F.count(F.lit(1))])
+        if now == before:
+            return pairs.select("src", "dst")
+        before = now
 
-    A frontier of (node, ancestor) moves up one edge a round; rounds are as many as the deepest path.
+
+def longest_paths(edges: DataFrame) -> DataFrame | None:
+    """(src, dst, d): the longest path of weighted edges (src, dst, d) from one to the other; None where there is a cycle.
+
+    A round doubles the length of the paths that it knows, so there are at most log2 of the longest, and one to see the end.
+    """
+    pairs, before = edges.groupBy("src", "dst").agg(F.max("d").cast("bigint").alias("d")), None
+    while True:
+        pairs, now = _grown(pairs, [F.count(F.lit(1)), F.sum("d"), F.count_if(F.col("src") == F.col("dst"))])
+        if now[2]:
+            return None
+        if now == before:
+            return pairs
+        before = now
+
+
+def inheritance_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, dit): longest path up the edges (child, parent) (GRA-4).
+
+    Classes that inherit from one another are one component: from a component of n classes a path visits all n and goes
+    on to a parent outside, or comes back once where there is none. So the classes of a cycle of n have depth n, a self
+    edge counts 1, and depths neither depend on an order nor need a limit. Without cycles the components are the classes.
+    Paths are doubled each round; what is held is each class with its ancestors.
     """
-    proper, loops = edges.where("child <> parent").select("child", "parent").distinct(), edges.where("child = parent").select(F.col("child").alias("node"), F.lit(1).alias("d")).distinct()
-    front = proper.select(F.col("child").alias("node"), F.col("parent").alias("at"))
-    depth = loops
-    for d in range(1, max_depth + 1):
-        front = front.checkpoint() if d % 4 == 0 else front
-        depth = depth.union(front.select("node", F.lit(d).alias("d")).distinct())
-        nxt = front.join(proper, front["at"] == proper["child"]).select("node", F.col("parent").alias("at")).where("at <> node").distinct()
-        if nxt.isEmpty():
-            break
-        front = nxt
-    best = depth.groupBy("node").agg(F.max("d").alias("dit"))
-    return nodes.join(best, "node", "left").select("node", F.coalesce("dit", F.lit(0)).cast("bigint").alias("dit"))
+    proper = edges.where("child <> parent").select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct()
+    loops = edges.where("child = parent").select(F.col("child").alias("src")).distinct()
+    paths = longest_paths(proper.withColumn("d", F.lit(1)))
+    if paths is None:
+        reach = reachable(proper)
+        mutual = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
+        parts = mutual.groupBy("src").agg(F.min("dst").alias("c")).checkpoint()
+        sizes = parts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+        up = _mapped(_mapped(proper, parts, "src"), parts, "dst").where("src <> dst").distinct()
+        paths = longest_paths(up.join(sizes.withColumnRenamed("c", "src"), "src", "left").select("src", "dst", F.coalesce("n", F.lit(1)).alias("d")))
+        rings = sizes.select(F.col("c").alias("src"), "n").union(loops.join(parts, "src", "left_anti").select("src", F.lit(1).cast("bigint")))
+    else:
+        parts, up = None, proper
+        rings = loops.select("src", F.lit(1).cast("bigint").alias("n"))
+    # a component that is a cycle without a way out comes back once
+    ends = rings.join(up.select("src").distinct(), "src", "left_anti")
+    whole = paths.join(ends.withColumnRenamed("src", "dst"), "dst", "left").select("src", (F.col("d") + F.coalesce("n", F.lit(0))).alias("d"))
+    best = whole.union(ends.select("src", "n")).groupBy("src").agg(F.max("d").alias("dit"))
+    of = nodes.select("node", F.col("node").alias("src"))
+    of = _mapped(of, parts, "src") if parts is not None else of
+    return of.join(best, "src", "left").select("node", F.coalesce("dit", F.lit(0)).cast("bigint").alias("dit"))
+
+
+def _mapped(rows: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """rows with the component in place of each class of a column that is in one."""
+    to = parts.select(F.col("src").alias("_class"), F.col("c").alias("_component"))
+    out = rows.join(to, rows[name] == to["_class"], "left").withColumn(name, F.coalesce("_component", F.col(name)))
+    return out.drop("_class", "_component")
 
 
 def children_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,6 +134,26 @@ def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(out, "node", "left").join(into, "node", "left").select("node", F.coalesce("cbo", zero).alias("cbo"), F.coalesce("cbo", zero).alias("fan_out"), F.coalesce("fan_in", zero).alias("fan_in"))
 
 
+def coupling_by_name(nodes: DataFrame, uses: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, cbo, fan_out, fan_in) from uses (src, name) and the classes' names (dst, name), one for each class (GRA-6 to 8).
+
+    The edges are all users of a name with all classes of that name, and never made: cbo sums over a class's used names
+    how many classes each has, fan_in counts the users of the class's own name, and either leaves out the class itself.
+    So a name with very many classes and users costs as many rows as it has classes and users.
+    """
+    names = names.select("dst", "name").distinct()
+    used = uses.select("src", "name").distinct()
+    own = names.select(F.col("dst").alias("src"), "name", F.lit(1).alias("own"))
+    classes = names.groupBy("name").agg(F.count(F.lit(1)).alias("classes"))
+    met = used.join(classes, "name").join(own, ["src", "name"], "left")
+    out = met.groupBy(F.col("src").alias("node")).agg((F.sum("classes") - F.count("own")).alias("cbo"))
+    users = used.groupBy("name").agg(F.count(F.lit(1)).alias("users"))
+    itself = used.select(F.col("src").alias("dst"), "name", F.lit(1).alias("own"))
+    into = names.join(users, "name").join(itself, ["dst", "name"], "left").select(F.col("dst").alias("node"), (F.col("users") - F.coalesce("own", F.lit(0))).alias("fan_in"))
+    zero = F.lit(0).cast("bigint")
+    return nodes.join(out, "node", "left").join(into, "node", "left").select("node", F.coalesce("cbo", zero).alias("cbo"), F.coalesce("cbo", zero).alias("fan_out"), F.coalesce("fan_in", zero).alias("fan_in"))
+
+
 def method_totals(classes: DataFrame, methods: DataFrame, owner: str, complexity: str) -> DataFrame:
     """Per class of classes(owner): wmc, number_of_methods and the average; without methods 0 (GRA-9, GRA-10)."""
     m = methods.groupBy(owner).agg(F.sum(complexity).alias("wmc"), F.count(F.lit(1)).alias("number_of_methods"))

@@ -84,8 +84,7 @@ def class_features(entities: DataFrame) -> DataFrame:
     star = G.lcom_hs(methods, declared, "owner", "method", "af", "field")
     edges = inheritance(entities).where("target is not null").select("child", F.col("target").alias("parent"))
     dit, noc = G.inheritance_depth(nodes, edges), G.children_counts(nodes, edges)
-    refs = G.reference_edges(classes.select(F.col("node").alias("src"), F.explode(F.transform("references", lambda r: F.concat_ws("\n", F.col("project"), r))).alias("name")), classes.select(F.col("node").alias("dst"), F.concat_ws("\n", "project", "name").alias("name")))
-    coupled = G.coupling(nodes, refs)
+    coupled = G.coupling_by_name(nodes, classes.select(F.col("node").alias("src"), F.explode(F.transform("references", lambda r: F.concat_ws("\n", F.col("project"), r))).alias("name")), classes.select(F.col("node").alias("dst"), F.concat_ws("\n", "project", "name").alias("name")))
     out = classes.select("project", "entity_id", "node")
     for t in (dit, noc, coupled):
         out = out.join(t, "node", "left")

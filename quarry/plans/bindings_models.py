@@ -13,6 +13,33 @@ from quarry.operators import graph as G
 from quarry.plans.bindings import bound
 from quarry.session import ensure_checkpoint_dir, table
 
+# ---------------------------------------------------------------- graphs
+
+
+@bound("""WITH RECURSIVE e AS (
+  SELECT DISTINCT conv_id * 100 + turn AS child, conv_id * 100 + turn - 1 AS parent FROM conversations WHERE turn > 0
+  UNION SELECT DISTINCT conv_id * 100, conv_id * 100 + conv_id % 4 FROM conversations WHERE conv_id % 3 = 0 AND conv_id * 100 + conv_id % 4 IN (SELECT conv_id * 100 + turn FROM conversations)
+  UNION SELECT DISTINCT conv_id * 100 + 1, conv_id * 100 - 100 FROM conversations WHERE conv_id % 3 = 1 AND turn = 1),
+r AS (SELECT child AS a, parent AS b FROM e UNION SELECT r.a, e.parent FROM r JOIN e ON r.b = e.child),
+n AS (SELECT DISTINCT conv_id * 100 + turn AS node FROM conversations),
+c AS (SELECT node, coalesce(min(x.b), node) AS c, greatest(count(x.b), 1) AS size, count(x.b) AS ring FROM n LEFT JOIN (SELECT p.a, p.b FROM r p JOIN r q ON p.a = q.b AND p.b = q.a) x ON x.a = node GROUP BY node),
+u AS (SELECT DISTINCT a.c, b.c AS up, a.size FROM e JOIN c a ON a.node = e.child JOIN c b ON b.node = e.parent WHERE a.c <> b.c),
+w AS (SELECT c AS a, up AS b, size AS d FROM u UNION SELECT w.a, u.up, w.d + u.size FROM w JOIN u ON w.b = u.c),
+last AS (SELECT DISTINCT c, size FROM c WHERE ring > 0 AND c NOT IN (SELECT c FROM u)),
+best AS (SELECT a AS c, max(d + coalesce(size, 0)) AS d FROM w LEFT JOIN last ON last.c = w.b GROUP BY 1 UNION ALL SELECT c, size FROM last)
+SELECT node, CAST(coalesce(max(d), 0) AS BIGINT) AS dit FROM c LEFT JOIN best ON best.c = c.c GROUP BY 1""")
+def inheritance_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of turns; every third has an edge back (or to itself), every third goes on to the one before."""
+    ensure_checkpoint_dir(spark)
+    t = table(spark, d, "conversations").select("conv_id", "turn")
+    c = t.select((F.col("conv_id") * 100 + F.col("turn")).alias("node")).distinct()
+    first, own = F.col("conv_id") * 100, F.col("conv_id") % 3
+    down = t.where("turn > 0").select((first + F.col("turn")).alias("child"), (first + F.col("turn") - 1).alias("parent"))
+    back = t.where(own == 0).select(first.alias("child"), (first + F.col("conv_id") % 4).alias("parent")).join(c.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent")
+    on = t.where((own == 1) & (F.col("turn") == 1)).select((first + 1).alias("child"), (first - 100).alias("parent"))
+    return G.inheritance_depth(c, down.union(back).union(on))
+
+
 # ---------------------------------------------------------------- tree attributions
 
 #: A small ensemble over quantity, discount and tax; the second tree splits on discount twice.

@@ -161,8 +161,7 @@ def inheritance_edges(spark: SparkSession, d: str) -> DataFrame:
 def reference_coupling(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     uses = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 211).alias("name"))
-    edges = G.reference_edges(uses, s.select(F.col("s_suppkey").alias("dst"), (F.col("s_suppkey") % 37).alias("name")))
-    return G.coupling(s.select(F.col("s_suppkey").alias("node")), edges)
+    return G.coupling_by_name(s.select(F.col("s_suppkey").alias("node")), uses, s.select(F.col("s_suppkey").alias("dst"), (F.col("s_suppkey") % 37).alias("name")))
 
 
 @bound("""WITH RECURSIVE e AS (SELECT s_suppkey AS child, s_suppkey // 2 AS parent FROM supplier WHERE s_suppkey > 0 UNION SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey > 2 UNION SELECT s_suppkey, s_suppkey - 7 FROM supplier WHERE s_suppkey % 10 = 9),
