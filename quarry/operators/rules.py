@@ -127,26 +127,50 @@ def ruleset_hash(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(json.dumps(plain, sort_keys=True).encode()).hexdigest()
 
 
+#: Cells that a group's values are cut into before one is ordered, a power of two.
+CELLS = 256
+
+
+def _cell(v: Column, edges: Column) -> Column:
+    """How many of the sorted edges lie below v, by halving."""
+    steps = F.array(*[F.lit(CELLS >> i) for i in range(CELLS.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(edges, at + step - 1) < v, step).otherwise(0))
+
+
 def percentiles(entities: DataFrame, wanted: list[tuple[str, float]], by: list[str], min_sample: int = MIN_SAMPLE) -> DataFrame:
     """(by, metric, q, n, threshold) of every (metric, q): the exact, interpolated percentile, null below min_sample rows (AGG-5, AGG-6).
 
-    Values become counts of distinct values before anything is ordered; running counts over these find the two values
-    beside the wanted place, so no group is held in a buffer.
+    Values become counts of distinct values; three passes over these select without ordering a group. A sketch finds
+    edges that cut a group's distinct values into CELLS cells of like size; exact counts of the cells tell which ones
+    hold the wanted places; only the values of those cells are ordered. Counts are exact, so the sketch's error changes
+    how large cells are and no result.
     """
     metrics = sorted({m for m, _ in wanted})
     long = entities.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m")).select(*by, "m.*").where("v is not null")
-    counted = long.groupBy(*by, "metric", "v").agg(F.count(F.lit(1)).alias("c"))
-    group = W.partitionBy(*by, "metric")
-    ran = counted.withColumn("upto", F.sum("c").over(group.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(group))
+    keys = [*by, "metric"]
+    counted = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    group = W.partitionBy(*keys)
+    edges = counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.array_sort(F.percentile_approx("v", [i / CELLS for i in range(CELLS + 1)], 10 * CELLS)).alias("edges"))
+    cells = _met(counted, edges, keys).groupBy(*keys, "n", _cell(F.col("v"), F.col("edges")).alias("cell")).agg(F.sum("c").alias("c"), F.min("v").alias("from"), F.max("v").alias("to"))
+    ran = cells.withColumn("upto", F.sum("c").over(group.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)))
     qs = F.explode(F.filter(F.array(*[F.struct(F.lit(m).alias("of"), F.lit(float(q)).alias("q")) for m, q in sorted(set(wanted))]), lambda w: w["of"] == F.col("metric")))
-    at = (F.col("w.q") / 100) * (F.col("n") - 1)
-    # the places floor(at) and ceil(at), counted from 0, fall in the values whose counts span them
+    # the places floor(at) and ceil(at), counted from 0, fall in the cells and values whose counts span them
     spans = lambda place: (F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)
-    met = ran.withColumn("w", qs).withColumn("at", at)
+    ran = ran.select("*", qs.alias("w")).withColumn("q", F.col("w.q")).withColumn("at", (F.col("q") / 100) * (F.col("n") - 1))
+    chosen = ran.where(spans(F.floor("at")) | spans(F.ceil("at"))).groupBy(*keys, "q").agg(F.max("n").alias("n"), F.max("at").alias("at"), F.min("from").alias("from"), F.max("to").alias("to"), F.min(F.col("upto") - F.col("c")).alias("below"))
+    near = _met(counted, chosen, keys).where(F.col("v").between(F.col("from"), F.col("to")))
+    near = near.withColumn("upto", F.col("below") + F.sum("c").over(W.partitionBy(*keys, "q").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
     low, high = (F.max(F.when(spans(f(F.col("at"))), F.col("v"))) for f in (F.floor, F.ceil))
-    out = met.groupBy(*by, "metric", F.col("w.q").alias("q")).agg(F.max("n").alias("n"), F.max("at").alias("at"), low.alias("low"), high.alias("high"))
+    out = near.groupBy(*keys, "q").agg(F.max("n").alias("n"), F.max("at").alias("at"), low.alias("low"), high.alias("high"))
     part = F.col("at") - F.floor("at")
-    return out.select(*by, "metric", "q", "n", F.when(F.col("n") >= min_sample, F.when(part == 0, F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high"))).alias("threshold"))
+    return out.select(*keys, "q", "n", F.when(F.col("n") >= min_sample, F.when(part == 0, F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high"))).alias("threshold"))
+
+
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with their groups; a null key is a group too."""
+    renamed = groups.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in keys])
+    same = [rows[k].eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    return rows.join(renamed, same).drop(*[f"_g{i}" for i in range(len(keys))])
 
 
 def thresholds(entities: DataFrame, metric: str, q: float, by: list[str], min_sample: int = MIN_SAMPLE) -> DataFrame:
