@@ -109,17 +109,17 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 1
     weight = F.lit(1.0)
     for k, v in n.items():
         weight = F.when(F.col(label) == k, total / (len(n) * v)).otherwise(weight)
-    stages = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", regParam=1 / (c * max(1, total)))]
+    stages = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", regParam=1 / (c * max(1, total)), standardization=False, tol=1e-12, maxIter=1000)]
     return Pipeline(stages=stages).fit(train.withColumn("weight", weight))
 
 
-def fit_tree(train: DataFrame, features: list[str], label: str, kind: str = "random_forest", seed: int = 42):
-    """Tree estimators: random_forest, gradient_boosting or decision_tree (ML-3)."""
+def fit_tree(train: DataFrame, features: list[str], label: str, kind: str = "random_forest", seed: int = 42, **settings):
+    """Tree estimators: random_forest, gradient_boosting or decision_tree, with settings of pyspark.ml by name (ML-3)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    made = {"random_forest": RandomForestClassifier, "gradient_boosting": GBTClassifier, "decision_tree": DecisionTreeClassifier}[kind](featuresCol="x", labelCol=label, seed=seed)
+    made = {"random_forest": RandomForestClassifier, "gradient_boosting": GBTClassifier, "decision_tree": DecisionTreeClassifier}[kind](featuresCol="x", labelCol=label, seed=seed, **settings)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), made]).fit(train)
 
 
@@ -133,26 +133,6 @@ def positive_probability(model, rows: DataFrame) -> DataFrame:
     return out.withColumn("predicted", (F.col("p") >= 0.5).cast("int")).withColumn("confidence", sure).withColumn("uncertainty", 1 - sure)
 
 
-def tune(train: DataFrame, features: list[str], label: str, project: str, grid: tuple[float, ...] = (0.1, 1.0, 10.0), n_folds: int = 3) -> float:
-    """The C whose grouped folds have the best (mcc, f1, pr_auc); the first of equals (ML-4, ML-5)."""
-    names = sorted(r[0] for r in train.select(project).distinct().collect())
-    k, best = min(n_folds, len(names)), None
-    for c in grid:
-        got = []
-        for i in range(k):
-            test = names[i::k]
-            inner = train.where(~F.col(project).isin(test))
-            if inner.select(label).distinct().count() < 2:
-                continue
-            scored = positive_probability(fit_logistic(inner, features, label, c), train.where(F.col(project).isin(test)))
-            m, r = binary_metrics(scored, [], label, "predicted").first(), ranking(scored, [], label, "p").first()
-            got.append((m["mcc"], m["f1"], r["pr_auc"] or 0.0))
-        mean = tuple(sum(x) / len(got) for x in zip(*got, strict=True)) if got else (-1.0, 0.0, 0.0)
-        if best is None or mean > best[0]:
-            best = (mean, c)
-    return best[1]
-
-
 def direction(contribution: Column) -> Column:
     """What a contribution does to the risk; none at all counts with the increases."""
     return F.when(contribution >= 0, "increases_smell_risk").otherwise("decreases_smell_risk")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.errors import require
 from quarry.operators import bundles as B
 from quarry.operators import evaluation as E
+from quarry.operators import folds as V
 from quarry.operators import rules as R
 from quarry.settings import Training
 
@@ -69,26 +73,115 @@ def classes_by_project(rows: DataFrame) -> dict[str, set[int]]:
     return {r[0]: set(r[1]) for r in rows.groupBy("project_fingerprint").agg(F.collect_set("label")).collect()}
 
 
+#: Settings that grouped inner folds choose from; the first of equals.
+GRID_C = (0.1, 1.0, 10.0)
+FOREST_GRID = tuple({"maxDepth": depth, "minInstancesPerNode": leaf} for depth in (30, 12) for leaf in (1, 2))
+INNER_FOLDS = 3
+
+
+def _candidates(scored_: DataFrame, threshold: float) -> dict[int, tuple[tuple[float, float, float], dict]]:
+    """Per candidate of validation rows (candidate, label, p): what it is chosen by (mcc, f1, pr_auc), and its measures."""
+    rows = scored_.withColumn("prediction", (F.col("p") >= threshold).cast("int"))
+    got = {r["candidate"]: r.asDict() for r in measures(rows, ["candidate"]).collect()}
+    return {k: (tuple(float(r[m] or 0.0) for m in ("mcc", "f1", "pr_auc")), r) for k, r in got.items()}
+
+
+def _chosen(grid: list[dict], found: list, projects: list[str], folds: int) -> tuple[int, dict]:
+    """(place in the grid, record of the choice): the best candidate, of equals the first; the first where none could be judged."""
+    best = max((k for k in range(len(grid)) if found[k] is not None), key=lambda k: (found[k][0], -k), default=None)
+    at = 0 if best is None else best
+    status = "skipped" if len(projects) < 2 else "fallback" if best is None else "selected"
+    return at, {"status": status, "inner_splits": folds, "training_projects": projects, "selected_parameters": grid[at], "candidates": [{"parameters": g, "status": "evaluated" if f else "invalid", "selection_score": list(f[0]) if f else None} for g, f in zip(grid, found, strict=True)]}
+
+
+def logistic_folds(rows: DataFrame, outer: list[tuple[str, str | None]], features: dict[str, list[str]], config: Training) -> dict[tuple[str, str | None], tuple[V.Model, dict]]:
+    """Per (smell, held-out project or None): the tuned regression of the other projects, and how it was chosen (ML-4, ML-5, ML-7).
+
+    Inner folds are balanced by rows, and every fold, setting and final model takes its steps in the same jobs; so jobs do
+    not grow with projects, smells or settings.
+    """
+    names = sorted(set().union(*features.values()))
+    data = V.with_x(rows, names).select("smell_type", "project_fingerprint", F.col("label").cast("int").alias("label"), "x").cache()
+    sums = V.project_sums(rows, names)
+    used = {s: np.array([n in features[s] for n in names]) for s in features}
+    inner, final, plans = [], [], []
+    for smell, held in outer:
+        without = frozenset([held] if held is not None else [])
+        sizes = {p: int(v[0]) for p, v in sums[smell].items() if p not in without}
+        k = min(INNER_FOLDS, len(sizes)) if len(sizes) > 1 else 0
+        of = V.group_folds(sizes, k) if k else {}
+        parts = [frozenset(p for p in of if of[p] == i) for i in range(k)]
+        at = len(inner)
+        inner += [V.Model(smell, c, without | part, part) for c in GRID_C for part in parts]
+        final += [V.Model(smell, c, without, without) for c in GRID_C]
+        plans.append((at, k, sorted(sizes)))
+    V.prepare(inner + final, sums, used)
+    V.fit_many(data, inner + final, len(names))
+    found: dict[int, tuple] = {}
+    if any(m.usable for m in inner):
+        # of inner model i of an outer one, the candidate is its place among the outer ones and the settings
+        place = {}
+        for o, (at, k, _) in enumerate(plans):
+            place |= {at + j: o * len(GRID_C) + j // k for j in range(k * len(GRID_C))}
+        of = rows.sparkSession.createDataFrame(sorted(place.items()), "model int, candidate int")
+        judged = data.select("label", F.explode(V.tested(inner, len(names))).alias("t")).select("label", "t.*").join(F.broadcast(of), "model")
+        found = _candidates(judged, config.threshold)
+    out = {}
+    for o, ((smell, held), (_, k, projects)) in enumerate(zip(outer, plans, strict=True)):
+        at, record = _chosen([{"c": c} for c in GRID_C], [found.get(o * len(GRID_C) + i) for i in range(len(GRID_C))], projects, k)
+        out[smell, held] = (final[o * len(GRID_C) + at], record)
+    data.unpersist()
+    return out
+
+
+def tuned_forest(train: DataFrame, features: list[str], config: Training) -> tuple[object, dict]:
+    """A random forest with the settings that grouped, balanced inner folds choose; fits of folds and settings run side by side (ML-4)."""
+    sizes = {r[0]: r[1] for r in train.groupBy("project_fingerprint").count().collect()}
+    k = min(INNER_FOLDS, len(sizes)) if len(sizes) > 1 else 0
+    of = V.group_folds(sizes, k) if k else {}
+
+    def judged(job: tuple[int, int]) -> DataFrame | None:
+        candidate, fold = job
+        test = [p for p in of if of[p] == fold]
+        rest = train.where(~F.col("project_fingerprint").isin(test))
+        if rest.select("label").distinct().count() < 2:
+            return None
+        model = E.fit_tree(rest, features, "label", seed=config.seed + candidate, numTrees=config.trees, **FOREST_GRID[candidate])
+        return E.positive_probability(model, train.where(F.col("project_fingerprint").isin(test))).select(F.lit(candidate).alias("candidate"), "label", "p")
+
+    jobs = [(c, f) for c in range(len(FOREST_GRID)) for f in range(k)]
+    with ThreadPool(4) as pool:
+        parts = [p for p in pool.map(judged, jobs) if p is not None] if jobs else []
+    found = _candidates(reduce(DataFrame.union, parts), config.threshold) if parts else {}
+    at, record = _chosen([dict(g) for g in FOREST_GRID], [found.get(i) for i in range(len(FOREST_GRID))], sorted(sizes), k)
+    return E.fit_tree(train, features, "label", seed=config.seed, numTrees=config.trees, **FOREST_GRID[at]), record
+
+
 def estimator(kind: str, train: DataFrame, features: list[str], config: Training) -> tuple[object, dict]:
-    """(model, how it was tuned): grouped folds choose C of a logistic regression, the others have no grid (ML-3..5)."""
+    """(model, how it was tuned): grouped folds choose C of a logistic regression and the settings of a forest; the others have no grid (ML-3..5)."""
     if kind == "logistic":
-        c = E.tune(train, features, "label", "project_fingerprint")
-        return E.fit_logistic(train, features, "label", c), {"grid": "C", "chosen": c}
-    return E.fit_tree(train, features, "label", kind, config.seed), {"grid": None, "chosen": None}
+        smell = train.withColumn("smell_type", F.lit(""))
+        model, record = logistic_folds(smell, [("", None)], {"": features}, config)["", None]
+        return E.fit_logistic(train, features, "label", model.c), record
+    if kind == "random_forest":
+        return tuned_forest(train, features, config)
+    return E.fit_tree(train, features, "label", kind, config.seed), {"status": "none", "candidates": []}
 
 
 def scored(model, rows: DataFrame, threshold: float) -> DataFrame:
     """rows with p, prediction by the threshold, confidence and uncertainty."""
-    out = E.positive_probability(model, rows)
+    return _decided(E.positive_probability(model, rows).select(*rows.columns, "p"), threshold)
+
+
+def _decided(rows: DataFrame, threshold: float) -> DataFrame:
     hit = F.col("p") >= threshold
     sure = F.when(hit, F.col("p")).otherwise(1 - F.col("p"))
-    keep = [c for c in rows.columns]
-    return out.select(*keep, "p", hit.cast("int").alias("prediction"), sure.alias("confidence"), (1 - sure).alias("uncertainty"))
+    return rows.select("*", hit.cast("int").alias("prediction"), sure.alias("confidence"), (1 - sure).alias("uncertainty"))
 
 
-def prediction_rows(scored_: DataFrame, split: str, held_out: str, model: str) -> DataFrame:
+def prediction_rows(scored_: DataFrame, split: str, held_out: str | Column, model: str) -> DataFrame:
     """Scored rows as prediction rows (PRJ-11); columns that the rows lack are empty."""
-    fixed = {"probability": significant(F.col("p")), "split": F.lit(split), "held_out_project": F.lit(held_out), "model": F.lit(model)}
+    fixed = {"probability": significant(F.col("p")), "split": F.lit(split), "held_out_project": F.lit(held_out) if isinstance(held_out, str) else held_out, "model": F.lit(model)}
     have = set(scored_.columns)
     return scored_.select(*[fixed[c].alias(c) if c in fixed else (F.col(c) if c in have else F.lit("").alias(c)) for c in B.PREDICTION_COLUMNS], "p")
 
@@ -154,23 +247,48 @@ def holdout(rows: DataFrame, config: Training = Training(), smells: tuple[str, .
 
 
 def leave_one_out(rows: DataFrame, config: Training = Training(), smells: tuple[str, ...] | None = None) -> Run:
-    """Every project in turn is tested by models that the others trained (ML-7)."""
+    """Every project in turn is tested by models that the others trained (ML-7).
+
+    Logistic regressions of all projects, smells, inner folds and settings are fitted together (operators.folds); trees
+    are fitted for one project after the other.
+    """
     run = Run()
     plan = training_plan(rows, config, smells)
     plan = plan.withColumn("skip", F.when(F.col("skip") == "only one class is present", None).otherwise(F.col("skip")))
-    for smell in _skipped(plan, run, held_out_project=""):
-        mine = rows.where(F.col("smell_type") == smell).cache()
-        classes, features = classes_by_project(mine), features_of_smell(mine, smell)
-        for project in sorted(classes):
-            if len(set().union(*(v for k, v in classes.items() if k != project))) < 2:
+    go = _skipped(plan, run, held_out_project="")
+    mine = rows.where(F.col("smell_type").isin(go)).cache()
+    features = {s: features_of_smell(mine, s) for s in go}
+    have = {s: classes_by_project(mine.where(F.col("smell_type") == s)) for s in go}
+    outer = []
+    for smell in go:
+        for project in sorted(have[smell]):
+            if len(set().union(*(v for k, v in have[smell].items() if k != project))) < 2:
                 run.results.append({"status": "skipped", "smell_type": smell, "held_out_project": project, "reason": "training projects contain only one class"})
-                continue
-            train, test = mine.where(F.col("project_fingerprint") != project), mine.where(F.col("project_fingerprint") == project)
-            for kind in config.models:
-                model, tuning = estimator(kind, train, features, config)
-                out = scored(model, test, config.threshold)
-                run.results.append({"status": "evaluated", "smell_type": smell, "model": kind, "held_out_project": project, "train_projects": len(classes) - 1, "train_rows": train.count(), "test_rows": test.count(), "tuning": tuning, "metrics": _one(measures(out, []))})
-                run.add(prediction_rows(out, "test", project, kind))
+            else:
+                outer.append((smell, project))
+    if not outer:
+        return run
+    sizes = {(r[0], r[1]): r[2] for r in mine.groupBy("smell_type", "project_fingerprint").count().collect()}
+    for kind in config.models:
+        tuning: dict[tuple[str, str], dict] = {}
+        if kind == "logistic":
+            every = sorted(set().union(*features.values()))
+            fitted = logistic_folds(mine, outer, features, config)
+            tuning = {k: r for k, (_, r) in fitted.items()}
+            out = V.with_x(mine, every).withColumn("_t", F.explode(V.tested([m for m, _ in fitted.values()], len(every)))).withColumn("p", F.col("_t.p")).drop("x", "_t")
+            out = _decided(out, config.threshold)
+        else:
+            parts = []
+            for smell, project in outer:
+                own = mine.where(F.col("smell_type") == smell)
+                model, tuning[smell, project] = estimator(kind, own.where(F.col("project_fingerprint") != project), features[smell], config)
+                parts.append(scored(model, own.where(F.col("project_fingerprint") == project), config.threshold))
+            out = reduce(DataFrame.unionByName, parts)
+        found = {(r["smell_type"], r["project_fingerprint"]): {k: v for k, v in r.asDict().items() if k not in ("smell_type", "project_fingerprint")} for r in measures(out, ["smell_type", "project_fingerprint"]).collect()}
+        for smell, project in outer:
+            n = sum(v for (s, _), v in sizes.items() if s == smell)
+            run.results.append({"status": "evaluated", "smell_type": smell, "model": kind, "held_out_project": project, "train_projects": len(have[smell]) - 1, "train_rows": n - sizes[smell, project], "test_rows": sizes[smell, project], "tuning": tuning[smell, project], "metrics": found[smell, project]})
+        run.add(prediction_rows(out, "test", F.col("project_fingerprint"), kind))
     return run
 
 

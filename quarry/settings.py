@@ -58,12 +58,13 @@ class Training:
     min_samples: int = 10
     min_projects: int = 2
     tries: int = 256
+    trees: int = 200
 
     def __post_init__(self) -> None:
         known = {"logistic", "random_forest", "gradient_boosting", "decision_tree"}
         require(self.models and set(self.models) <= known, "configuration_error", f"models are some of {sorted(known)}")
         require(0 < self.test_size < 1 and 0 < self.threshold < 1, "configuration_error", "test_size and threshold lie between 0 and 1")
-        require(self.min_samples >= 2 and self.min_projects >= 2 and self.tries >= 1, "configuration_error", "two samples, two projects and one try at least")
+        require(self.min_samples >= 2 and self.min_projects >= 2 and self.tries >= 1 and self.trees >= 1, "configuration_error", "two samples, two projects, one try and one tree at least")
 
 
 @dataclass(frozen=True)

@@ -71,7 +71,6 @@ def test_models(spark):
     scored = E.positive_probability(model, df)
     m = E.binary_metrics(scored, [], "y", "predicted").first()
     assert m.f1 == 1.0 and E.ranking(scored, [], "y", "p").first().roc_auc == 1.0
-    assert E.tune(df, ["loc", "cc"], "y", "project", (0.1, 1.0)) in (0.1, 1.0)
     assert E.fit_tree(df, ["loc", "cc"], "y", "decision_tree").transform(df).where("prediction <> y").count() == 0
 
 
