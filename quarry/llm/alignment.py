@@ -25,6 +25,7 @@ ignored. Texts are read whole; a text without spaces is one unit.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,15 +44,16 @@ from quarry.llm.common import broadcast_if_small, read, text_of, written
 
 #: A task's word list closes after so many units, so many different ones, or so many bytes of different ones.
 CHUNK_UNITS = 8_000_000
-CHUNK_DISTINCT = 400_000
-CHUNK_BYTES = 1 << 26
+CHUNK_DISTINCT = 250_000
+CHUNK_BYTES = 1 << 25
 #: Units of the documents that share a row.
 BLOCK_UNITS = 1 << 18
 #: Documents for each part of the distinct units, and the least and the largest number of parts (powers of two).
 PART_DOCS = 1024
 PARTS = (64, 1 << 20)
-#: Units that are tokenized in one call.
-CALL = 4096
+#: Units that are tokenized in one call, and documents that are read at once.
+CALL = 2048
+READ = 128
 #: Units whose values share a row on their way to a part.
 VALUES = 1 << 15
 
@@ -68,6 +70,7 @@ class Pair:
     """Both tokenizers: the bytes of their tokens, and their ids of units."""
 
     def __init__(self, a: str, b: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -213,7 +216,7 @@ def _chunks(paths: tuple[str, str], parts: int):
                 lens = np.fromiter(map(len, words), np.uint32, len(words))
                 yield _batch([(task | chunk, int(part[mine[0]]), None, None, _planes(np.diff(mine, prepend=0)), _planes(lens), _planes(counts[order[mine]]), zstandard.compress(b"".join(words), 6))], _CHUNK)
 
-        for batch in batches:
+        for batch in (b.slice(at, READ) for b in batches for at in range(0, b.num_rows, READ)):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = of(text)
                 ids.append(i)
@@ -226,6 +229,7 @@ def _chunks(paths: tuple[str, str], parts: int):
                     ids, rows, seen, chunk = [], [], 0, chunk + 1
         if ids:
             yield from closed()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -249,7 +253,7 @@ def _numbered(paths: tuple[str, str]):
                 unit = (np.int64(now) << 32) + np.arange(at, at + n)
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(unit), pa.array(counts[at : at + n]), *lists], schema=_UNIT)
 
-        for batch in batches:
+        for batch in (b.slice(at, READ) for b in batches for at in range(0, b.num_rows, READ)):
             for chunk, part, codes, lens, seen, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "codes", "lens", "counts", "data")), strict=True):
                 if part != now:
                     yield from told()
@@ -262,6 +266,7 @@ def _numbered(paths: tuple[str, str]):
                 counts[at] += _unplanes(seen)  # a list holds a unit once
                 yield _batch([(chunk, part, codes, _planes(at), None, None, None, None)], _UNIT)
         yield from told()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -327,7 +332,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     groups: list[str] = []
     ready = False
 
-    for batch in batches:
+    for batch in (b.slice(at, READ) for b in batches for at in range(0, b.num_rows, READ)):
         for chunk, part, codes, numbers, texts, mine in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "codes", "numbers", "groups", "units")), strict=True):
             if part != now:
                 now, sums, groups, at, ready = part, [], [], [], False
@@ -349,7 +354,7 @@ def _told(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Record
     """Chunks, each with the values of its list before its documents, to results of documents."""
     now = None
     groups: list[str] = []
-    for batch in batches:
+    for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
         for chunk, docs, sizes, codes, numbers, texts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "doc_ids", "sizes", "codes", "numbers", "groups")), strict=True):
             if chunk != now:
                 now, groups, table = chunk, [], np.zeros((len(SUMS), 0), np.int64)
@@ -383,7 +388,13 @@ def _told(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Record
 @contextmanager
 def _by_unit(spark: SparkSession):
     """Within: joins of rows that lie by unit keep their place though they also compare the end, and sorted rows are collected as they come."""
-    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+    with _set(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}):
+        yield
+
+
+@contextmanager
+def _set(spark: SparkSession, wanted: dict[str, str]):
+    """Settings that hold within, for tables that are written there."""
     before = {k: spark.conf.get(k) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -445,7 +456,8 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, digest: bool =
     spark, paths = docs.sparkSession, paths or default_tokenizers()
     parts = parts or parts_of(docs.count())
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    chunks = written(texts.mapInArrow(_chunks(paths, parts), _CHUNK_DDL), "lists", compression="uncompressed")
+    with _set(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        chunks = written(texts.mapInArrow(_chunks(paths, parts), _CHUNK_DDL), "lists", compression="uncompressed")
     lists = chunks.where("part >= 0").drop("doc_ids", "sizes").repartition("part").sortWithinPartitions("part")
     numbered = written(lists.mapInArrow(_numbered(paths), _UNIT_DDL), "units", compression="zstd")
     with _by_unit(spark):
