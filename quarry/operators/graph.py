@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def keep_wins(rows: DataFrame, key: str, order: str, last: bool = True) -> DataFrame:
@@ -166,17 +171,41 @@ def response(calls: DataFrame, owner: str, method: str, called: str) -> DataFram
     return calls.groupBy(owner).agg((F.countDistinct(method) + F.countDistinct(called)).alias("rfc"))
 
 
+#: Pairs of methods that are compared at once.
+PAIRS = 1 << 22
+
+
+@F.pandas_udf(LongType())
+def _sharing(classes: pd.Series) -> pd.Series:
+    """Pairs of field sets of a class that have a field in common: equal sets once with their number, as rows of a bitmap."""
+
+    def pairs(methods) -> int:
+        sets = Counter(frozenset(m) for m in methods if len(m))
+        at = {f: i for i, f in enumerate(sorted(set().union(*sets)))}
+        n = np.array(list(sets.values()), np.int64)
+        bits = np.zeros((len(sets), len(at)), np.float32)
+        for row, fields in zip(bits, sets, strict=True):
+            row[[at[f] for f in fields]] = 1
+        step, shared = max(1, PAIRS // max(1, len(bits))), 0
+        for i in range(0, len(bits), step):
+            met = bits[i : i + step] @ bits.T > 0
+            shared += int(n[i : i + step] @ (met @ n))
+        return (shared - int(n.sum())) // 2  # both orders, and each method with itself
+
+    return classes.map(pairs)
+
+
 def lcom1(methods: DataFrame, owner: str, method: str, fields: str) -> DataFrame:
     """(owner, lcom1) from methods with their field arrays: disjoint pairs less sharing pairs, not below 0 (GRA-12).
 
-    A class becomes one row of its methods' field sets, bounded by its source file; pairs are counted inside the row and
-    never become rows.
+    A class becomes one row of its methods' field sets, bounded by its source file; pairs are counted by products of
+    bitmaps, a bounded block at a time, and never become rows.
     """
-    m = methods.groupBy(owner).agg(F.collect_list(F.array_distinct(F.coalesce(fields, F.array()))).alias("_f"))
+    m = methods.groupBy(owner).agg(F.collect_list(F.array_compact(F.coalesce(fields, F.array()))).alias("_f"))
     n = F.size("_f")
-    sharing = F.aggregate(F.transform("_f", lambda a, i: F.size(F.filter(F.slice("_f", i + 2, n), lambda b: F.arrays_overlap(a, b)))), F.lit(0).cast("bigint"), lambda s, x: s + x)
     pairs = (n.cast("bigint") * (n - 1) / 2).cast("bigint")
-    return m.select(owner, F.greatest(pairs - 2 * sharing, F.lit(0)).cast("bigint").alias("lcom1"))
+    named = F.transform("_f", lambda fs: F.transform(fs, lambda f: f.cast("string")))
+    return m.select(owner, F.greatest(pairs - 2 * _sharing(named), F.lit(0)).cast("bigint").alias("lcom1"))
 
 
 def lcom_hs(methods: DataFrame, declared: DataFrame, owner: str, method: str, fields: str, field: str) -> DataFrame:

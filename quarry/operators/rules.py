@@ -207,11 +207,11 @@ def _finding(rule: Rule, relative: dict[str, Column], columns: list[str], mode:
         met = S.compare(op, observed, limit)
         parts.append(F.struct(F.lit(c.metric).alias("metric"), op.alias("operator"), observed.alias("observed"), limit.alias("threshold"), met.alias("satisfied"), source.alias("threshold_source")))
         excesses.append(F.when(met, S.excess(op, observed, limit)))
-    evidence = F.array(*parts)
     test = F.forall if rule.combinator == "all" else F.exists
-    weakest = F.coalesce(F.array_min(F.array_compact(F.array(*excesses))), F.lit(1.0))
-    fires = (F.col("entity_type") == rule.entity_type) & exemption(rule, columns).isNull() & test(evidence, lambda e: e["satisfied"])
-    return F.when(fires, F.struct(F.lit(rule.smell).alias("smell"), S.severity(weakest, rule.bands).alias("severity"), weakest.alias("excess"), evidence.cast(EVIDENCE).alias("evidence")))
+    # evidence and the weakest excess are used several times: each is computed once, as the element of an array
+    judged = F.struct(F.array(*parts).cast(EVIDENCE).alias("evidence"), F.coalesce(F.array_min(F.array_compact(F.array(*excesses))), F.lit(1.0)).alias("excess"))
+    found = F.transform(F.array(judged), lambda j: F.when(test(j["evidence"], lambda e: e["satisfied"]), F.struct(F.lit(rule.smell).alias("smell"), S.severity(j["excess"], rule.bands).alias("severity"), j["excess"].alias("excess"), j["evidence"].alias("evidence"))))[0]
+    return F.when((F.col("entity_type") == rule.entity_type) & exemption(rule, columns).isNull(), found)
 
 
 def detect(entities: DataFrame, rules: tuple[Rule, ...] | None = None, mode: str = "absolute", project: str | None = None, partial: bool = False) -> DataFrame:

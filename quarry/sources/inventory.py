@@ -89,11 +89,53 @@ def virtualenvs(files: DataFrame) -> DataFrame:
     return cfg.union(activate.join(lib, "folder", "left_semi")).distinct()
 
 
+#: Environments that are looked for in the scan; more are met by a join.
+MAX_VIRTUALENVS = 100_000
+
+
+def _below(path: Column, roots: Column, n: int) -> Column:
+    """Whether a path lies below one of n sorted roots that end in / and none of which begins another.
+
+    All strings between a root and a path below it begin with that root, so the last root up to the path decides; it is
+    found by halving.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
+    at = F.aggregate(steps, F.lit(0), lambda k, step: k + F.when(F.get(roots, k + step - 1) <= path, step).otherwise(0))
+    return F.coalesce(F.startswith(path, F.get(roots, at - 1)), F.lit(False))
+
+
 def without_virtualenvs(files: DataFrame) -> DataFrame:
-    """Files outside virtual environments: every ancestor folder is looked up by an equi-join."""
-    folders = F.transform(F.sequence(F.lit(0), F.size(_folders(F.col("path")))), lambda n: F.array_join(F.slice(_folders(F.col("path")), 1, n), "/"))
-    inside = files.select("path", F.explode_outer(folders).alias("folder")).join(virtualenvs(files), "folder").select("path").distinct()
-    return files.join(inside, "path", "left_anti")
+    """Files outside virtual environments, told within the scan: no content is shuffled.
+
+    The environments' folders, a bounded list, are found from paths alone first.
+    """
+    found = sorted(r["folder"] + "/" for r in virtualenvs(files.select("path")).limit(MAX_VIRTUALENVS + 1).collect())
+    if not found:
+        return files
+    if found[0] == "/":  # the whole tree is one
+        return files.where(F.lit(False))
+    if len(found) > MAX_VIRTUALENVS:
+        folders = F.transform(F.sequence(F.lit(0), F.size(_folders(F.col("path")))), lambda n: F.array_join(F.slice(_folders(F.col("path")), 1, n), "/"))
+        inside = files.select("path", F.explode_outer(folders).alias("folder")).join(virtualenvs(files), "folder").select("path").distinct()
+        return files.join(inside, "path", "left_anti")
+    outer = found[:1]
+    for r in found[1:]:
+        if not r.startswith(outer[-1]):
+            outer.append(r)
+    (roots,) = fresh_names(files, "roots")
+    table = F.broadcast(files.sparkSession.createDataFrame([(outer,)], f"{roots} array<string>"))
+    slashed = F.replace("path", F.lit("\\"), F.lit("/"))
+    return files.crossJoin(table).where(~_below(slashed, F.col(roots), len(outer))).drop(roots)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def _left_out(spark: SparkSession, root: str) -> tuple[list[tuple[str, str, int]], list[str]]:
