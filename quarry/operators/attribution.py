@@ -179,3 +179,62 @@ def explained(rows: DataFrame, x: Column, ensemble: Ensemble, n_features: int) -
     """rows with contributions, base and output of an ensemble; output is base plus the sum of contributions."""
     out = rows.withColumn("contributions", contributions(x, ensemble, n_features)).withColumn("base", F.lit(ensemble.base))
     return out.withColumn("output", F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda s, v: s + v))
+
+
+def outputs(node: Split | Leaf, x: np.ndarray) -> np.ndarray:
+    """A tree's values of rows, each split deciding for the rows that reach it."""
+    out = np.empty(len(x))
+
+    def walk(at: Split | Leaf, rows: np.ndarray) -> None:
+        if isinstance(at, Leaf):
+            out[rows] = at.value
+        elif len(rows):
+            left = x[rows, at.feature] <= at.threshold
+            walk(at.left, rows[left])
+            walk(at.right, rows[~left])
+
+    walk(node, np.arange(len(x)))
+    return out
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """A fitted model of two classes as numbers: a scaled linear one, or trees; features are places in a shared array."""
+
+    features: tuple[int, ...]
+    linear: tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...], float] | None = None
+    trees: Ensemble | None = None
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        x = x[:, list(self.features)]
+        if self.trees is not None:
+            margin = sum(w * outputs(t, x) for w, t in self.trees.trees)
+            return margin if self.trees.output == "probability" else 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+        mean_, sd, coef, intercept = (np.array(v) for v in self.linear)
+        z = np.divide(x - mean_, sd, out=np.zeros_like(x), where=sd != 0)
+        return 1 / (1 + np.exp(-np.clip(z @ coef + intercept, -700, 700)))
+
+
+def scorer(model, features: list[int]) -> Scorer:
+    """The numbers of a pipeline with a scaler and a linear model, or of trees."""
+    last = model.stages[-1] if hasattr(model, "stages") else model
+    if not hasattr(last, "coefficients"):
+        return Scorer(tuple(features), trees=of_model(model))
+    scaler = next(s for s in model.stages if hasattr(s, "mean"))
+    return Scorer(tuple(features), linear=(tuple(scaler.mean.toArray()), tuple(scaler.std.toArray()), tuple(last.coefficients.toArray()), float(last.intercept)))
+
+
+def scores(kind: Column, x: Column, kinds: list[str], scorers: list[Scorer], n_features: int) -> Column:
+    """The probabilities (model, p) of a row by all scorers of its kind."""
+
+    @F.pandas_udf("array<struct<model:int,p:double>>")
+    def run(kind: pd.Series, x: pd.Series) -> pd.Series:
+        out: list[list[dict]] = [[] for _ in range(len(x))]
+        table = np.array([np.asarray(v, float) for v in x], float).reshape(len(x), n_features)
+        for k, (of, one) in enumerate(zip(kinds, scorers, strict=True)):
+            at = np.flatnonzero((kind == of).to_numpy())
+            for i, p in zip(at.tolist(), one.probability(table[at]).tolist() if len(at) else (), strict=True):
+                out[i].append({"model": k, "p": p})
+        return pd.Series(out, dtype=object)
+
+    return run(kind, x)

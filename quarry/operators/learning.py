@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.errors import require
+from quarry.operators import attribution as A
 from quarry.operators import bundles as B
 from quarry.operators import evaluation as E
 from quarry.operators import folds as V
@@ -309,20 +310,31 @@ def run_totals(predictions: DataFrame) -> DataFrame:
 
 def registered_scores(entities: DataFrame, models: list[tuple[object, dict]]) -> DataFrame:
     """Predictions of registered models (model, card) over feature rows: every entity of the smell's type; a feature that an
-    entity lacks counts 0 (ML-11)."""
+    entity lacks counts 0 (ML-11).
+
+    All models' coefficients and trees go to the tasks together, and an entity is scored by every model of its type at
+    once: one scan, whatever the number of models.
+    """
     require(models, "ml_error", "there is no enabled model")
-    out = None
-    for model, card in models:
+    kinds = []
+    for _, card in models:
         kind = next((k for k, names in B.SMELLS.items() if card["smell_type"] in names), None)
         require(kind, "ml_error", "unknown smell", smell=card["smell_type"])
-        mine = entities.where(F.col("entity_type") == kind)
-        plain = {f: f.removeprefix(PREFIX) for f in card["features"]}
-        wide = mine.withColumns({f: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) if m in mine.columns else F.lit(0.0) for f, m in plain.items()})
-        got = scored(model, wide, card.get("threshold", 0.5))
-        keep = [c for c in ("project", "entity_id", "entity_type", "qualified_name", "path", "start_line", "end_line") if c in entities.columns]
-        rows = got.select(*keep, F.lit(card["smell_type"]).alias("smell_type"), F.lit(card.get("model_sha256", "")).alias("model_id"), F.col("p").alias("probability"), "prediction", F.lit(card.get("threshold", 0.5)).alias("threshold"), "confidence", "uncertainty", F.struct(*[F.col(f).alias(m) for f, m in plain.items()]).alias("_x").cast("string").alias("inputs"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        kinds.append(kind)
+    plain = [{f: f.removeprefix(PREFIX) for f in card["features"]} for _, card in models]
+    names = sorted({m for p in plain for m in p.values()})
+    value = lambda m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) if m in entities.columns else F.lit(0.0)
+    keep = [c for c in ("project", "entity_id", "entity_type", "qualified_name", "path", "start_line", "end_line") if c in entities.columns]
+    scorers = [A.scorer(model, [names.index(m) for m in p.values()]) for (model, _), p in zip(models, plain, strict=True)]
+    rows = entities.where(F.col("entity_type").isin(*kinds)).select(*keep, F.array(*map(value, names)).alias("x"))
+    rows = rows.select("*", F.explode(A.scores(F.col("entity_type"), F.col("x"), kinds, scorers, len(names))).alias("s")).withColumn("p", F.col("s.p"))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("s.model"))
+    limit = of([float(card.get("threshold", 0.5)) for _, card in models])
+    inputs = F.get(F.array(*[F.struct(*[F.get("x", names.index(m)).alias(m) for m in p.values()]).cast("string") for p in plain]), F.col("s.model"))
+    hit = F.col("p") >= limit
+    sure = F.when(hit, F.col("p")).otherwise(1 - F.col("p"))
+    smell, sha = of([c["smell_type"] for _, c in models]), of([c.get("model_sha256", "") for _, c in models])
+    return rows.select(*keep, smell.alias("smell_type"), sha.alias("model_id"), F.col("p").alias("probability"), hit.cast("int").alias("prediction"), limit.alias("threshold"), sure.alias("confidence"), (1 - sure).alias("uncertainty"), inputs.alias("inputs"))
 
 
 def demo_rows(spark: SparkSession, rule: R.Rule, n: int = 30) -> DataFrame:

@@ -93,3 +93,22 @@ def test_one_class_everywhere_falls_back(rows):
     out = L.logistic_folds(mine, [("long_method", None)], {"long_method": ["feature__a"]}, Training())
     model, record = out["long_method", None]
     assert not model.usable and record["status"] == "fallback"
+
+
+def test_all_registered_models_score_in_one_scan(rows):
+    mine = rows.where("smell_type = 'long_method'")
+    names = ["feature__a", "feature__b"]
+    kinds = ["logistic", "decision_tree", "random_forest", "gradient_boosting"]
+    models = [E.fit_logistic(mine, names, "label") if k == "logistic" else E.fit_tree(mine, names, "label", k) for k in kinds]
+    cards = [{"smell_type": "long_method", "features": names, "model_sha256": k, "threshold": 0.4} for k in kinds]
+    entities = mine.select(F.col("task_id").alias("entity_id"), "entity_type", F.col("feature__a").alias("a"), F.col("feature__b").alias("b")).withColumn("x", F.lit("clash"))
+    got = L.registered_scores(entities, list(zip(models, cards, strict=True)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1
+    found = {(r.entity_id, r.model_id): r for r in got.collect()}
+    assert len(found) == 4 * mine.count()
+    for model, kind in zip(models, kinds, strict=True):
+        for r in E.positive_probability(model, mine).select("task_id", "p").collect():
+            one = found[r.task_id, kind]
+            assert one.probability == pytest.approx(r.p, abs=1e-9) and one.prediction == int(r.p >= 0.4) and one.threshold == 0.4
+    assert L.registered_scores(entities.drop("b").withColumn("entity_type", F.lit("class")), [(models[0], cards[0])]).count() == 0
