@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.errors import QuarryError
+from quarry.errors import QuarryError, require
 from quarry.operators import bundles as B
 from quarry.operators import dataset as D
 from quarry.operators import learning as L
@@ -151,7 +151,7 @@ def ml_prepare(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def _training(spark: SparkSession, path: str):
-    rows = T.read_training(spark, path, ("task_id", "project_fingerprint", "smell_type", "entity_type", "label"))
+    rows = T.read_training(spark, path, ("task_id", "project_fingerprint", "smell_type", "entity_type", "label"), strict=True)
     rows = rows.select(*[F.col(c).alias(c if c in ("task_id", "project_fingerprint", "smell_type", "entity_type") else "label" if c == "label" else L.PREFIX + c) for c in rows.columns]).withColumn("label", F.col("label").cast("int"))
     issues = B.report(B.training_issues(rows, [c for c in rows.columns if c.startswith(L.PREFIX)]))
     if not issues["valid"]:
@@ -194,6 +194,28 @@ def research(spark: SparkSession, a: argparse.Namespace) -> dict:
     return W.research_bundle(spark, a.holdout, a.logo, a.output, a.overwrite)
 
 
+@verb("model-register", arg("registry", help="a Parquet table of registered models"), arg("model", help="a model folder"))
+def model_register(spark: SparkSession, a: argparse.Namespace) -> dict:
+    card = T.read_card(a.model)
+    T.load_model(a.model, card.get("features", []))
+    row = {"model_sha256": card["model_sha256"], "path": a.model, "smell_type": card.get("smell_type", ""), "model": card.get("model", ""), "threshold": float(card.get("threshold", 0.5))}
+    Q.replace_keys(spark.createDataFrame([tuple(row.values())], "model_sha256 string, path string, smell_type string, model string, threshold double"), a.registry, "model_sha256")
+    return row
+
+
+@verb("model-verify", arg("registry"))
+def model_verify(spark: SparkSession, a: argparse.Namespace) -> dict:
+    registry = spark.read.parquet(a.registry)
+    changed = T.verified(registry)
+    return {"models": registry.count(), "changed": changed, "valid": not changed}
+
+
+@verb("model-delete", arg("registry"), arg("sha", help="the digest of a model's files"))
+def model_delete(spark: SparkSession, a: argparse.Namespace) -> dict:
+    require(Q.delete_keys(spark, a.registry, "model_sha256", [a.sha]), "not_found", "no such model", model_sha256=a.sha)
+    return {"deleted": a.sha}
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="quarry")
     verbs = out.add_subparsers(dest="verb", required=True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +45,16 @@ def missing(requested: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return requested.join(known, key, "left_anti")
 
 
+def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The keys that both have, once (SET-2)."""
+    return a.select(key).intersect(b.select(key))
+
+
+def in_either(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The keys that one or both have, once (SET-2)."""
+    return a.select(key).union(b.select(key)).distinct()
+
+
 def counts(rows: DataFrame, by: str, k: int | None = None) -> DataFrame:
     """Counts by value, largest first, ties by value (AGG-20)."""
     out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by)
@@ -212,6 +224,42 @@ def replace_partition(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def _put(rows: DataFrame, path: str) -> None:
+    """Rows made from a Parquet table in its place: written beside it, then two renames."""
+    spark = rows.sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    rows.write.parquet(f"{path}.new-{mark}")
+    where, aside, new = to(path), to(f"{path}.old-{mark}"), to(f"{path}.new-{mark}")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not (fs.rename(where, aside) and fs.rename(new, where)):
+        raise OSError(f"{path} could not be replaced; its rows are there as they were, or in {path}.old-{mark}")
+    fs.delete(aside, True)
+
+
+def replace_keys(rows: DataFrame, path: str, key: str) -> None:
+    """Writes rows in place of those of their keys in a Parquet table, whatever its layout (SNK-8).
+
+    A failure before the renames leaves the old table as it was, one between them leaves it beside with its mark.
+    """
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        rows.write.parquet(path)
+        return
+    keys = rows.select(F.col(key).alias("_key")).distinct()
+    _put(spark.read.parquet(path).join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(rows), path)
+
+
+def delete_keys(spark: SparkSession, path: str, key: str, values: list) -> int:
+    """Takes the rows of some keys out of a Parquet table; how many keys it had of them."""
+    old = spark.read.parquet(path)
+    there = old.where(F.col(key).isin(values)).select(key).distinct().count()
+    if there:
+        _put(old.where(~F.coalesce(F.col(key).isin(values), F.lit(False))), path)
+    return there
+
+
 def section(rows: DataFrame, order: list[str], limit: int) -> tuple[DataFrame, bool]:
     """(rows of a report section, whether some were left out) (LIM-2)."""
     return rows.orderBy(*order).limit(limit), len(rows.select(order[0]).take(limit + 1)) > limit

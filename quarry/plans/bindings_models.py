@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import attribution as T
+from quarry.operators import context as C
 from quarry.operators import graph as G
+from quarry.operators import query as Q
 from quarry.plans.bindings import bound
 from quarry.session import ensure_checkpoint_dir, table
 
@@ -40,6 +42,56 @@ def inheritance_cycles(spark: SparkSession, d: str) -> DataFrame:
     return G.inheritance_depth(c, down.union(back).union(on))
 
 
+# ---------------------------------------------------------------- lookups
+
+
+@bound("SELECT c_nationkey AS project, CAST(c_custkey % 50 AS VARCHAR) AS qualified_name, max(c_custkey) FILTER (WHERE c_custkey % 3 > 0) AS entity_id FROM customer GROUP BY 1, 2")
+def entity_by_qualified_name(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are defined several times, some of them never."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("project"), (F.col("c_custkey") % 50).cast("string").alias("qualified_name"), F.col("c_custkey").alias("entity_id"), F.col("c_custkey").alias("seq"))
+    return C.by_qualified_name(c, c.where("entity_id % 3 > 0"), "seq")
+
+
+@bound("""WITH f AS (SELECT o_custkey AS c, list_sort(list(DISTINCT o_orderpriority)) AS l, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1)
+SELECT c_custkey AS entity_id, coalesce(array_to_string(l, ','), '') AS called, n FROM customer LEFT JOIN f ON c = c_custkey WHERE c_custkey % 5 = 0""")
+def facts_lookup(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "orders").where("o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("entity_id")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("called"), F.count(F.lit(1)).alias("n"))
+    wanted = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("entity_id"))
+    return C.facts_of(wanted, facts).select("entity_id", F.array_join("called", ",").alias("called"), "n")
+
+
+@bound("SELECT DISTINCT s_suppkey AS dst, l_suppkey AS src FROM lineitem JOIN supplier ON s_suppkey % 37 = l_partkey % 211 WHERE s_suppkey % 10 = 3 AND l_suppkey <> s_suppkey")
+def referencing_classes(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"), (F.col("s_suppkey") % 37).alias("name"))
+    uses = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 211).alias("name"))
+    return C.referencing_classes(names.where("dst % 10 = 3"), uses, names)
+
+
+@bound("""WITH i AS (SELECT path, string_agg(alias || '=' || origin, ',' ORDER BY alias) AS said FROM (SELECT s_nationkey AS path, 'a' || s_suppkey % 4 AS alias, max(s_name) AS origin FROM supplier WHERE s_nationkey % 3 > 0 GROUP BY 1, 2) GROUP BY 1)
+SELECT c_custkey AS entity_id, coalesce(said, '') AS said FROM customer LEFT JOIN i ON path = c_nationkey WHERE c_custkey % 4 = 1""")
+def imports_lookup(spark: SparkSession, d: str) -> DataFrame:
+    entities = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_nationkey").alias("path"))
+    imports = table(spark, d, "supplier").where("s_nationkey % 3 > 0").select(F.col("s_nationkey").alias("path"), F.concat(F.lit("a"), (F.col("s_suppkey") % 4).cast("string")).alias("alias"), F.col("s_name").alias("origin"))
+    said = F.array_join(F.transform(F.map_entries("imports"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return C.imports_for(entities.where("entity_id % 4 = 1"), entities, imports).select("entity_id", said.alias("said"))
+
+
+@bound("SELECT DISTINCT c_nationkey AS project, c_mktsegment AS name, c_custkey AS entity_id FROM customer WHERE (c_nationkey, c_mktsegment) IN (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 40 = 0)")
+def classes_named(spark: SparkSession, d: str) -> DataFrame:
+    classes = table(spark, d, "customer").select(F.col("c_nationkey").alias("project"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("entity_id"))
+    return C.classes_named(classes.where("entity_id % 40 = 0"), classes)
+
+
+@bound("SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def keys_in_both(spark: SparkSession, d: str) -> DataFrame:
+    return Q.in_both(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")), "id")
+
+
+@bound("SELECT s_suppkey AS id FROM supplier UNION SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0")
+def keys_in_either(spark: SparkSession, d: str) -> DataFrame:
+    return Q.in_either(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("id")), "id")
+
+
 # ---------------------------------------------------------------- tree attributions
 
 #: A small ensemble over quantity, discount and tax; the second tree splits on discount twice.

@@ -24,15 +24,26 @@ def read_sheet(spark: SparkSession, path: str, columns: tuple[str, ...]) -> Data
     return raw.toDF(*names).select(*columns)
 
 
-def read_training(spark: SparkSession, path: str, metadata: tuple[str, ...], prefix: str = "feature__") -> DataFrame:
-    """A training CSV: metadata as text, features as doubles without their prefix; a cell that is no number is null (PRJ-4)."""
+def read_training(spark: SparkSession, path: str, metadata: tuple[str, ...], prefix: str = "feature__", strict: bool = False) -> DataFrame:
+    """A training CSV: metadata as text, features as doubles without their prefix (PRJ-4, SRC-11).
+
+    A blank cell is a missing value. A cell that is no finite number is null, or in strict reading an error that names up
+    to five such cells.
+    """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     features = [c for c in raw.columns if c.startswith(prefix)]
     if missing := [c for c in metadata if c not in raw.columns]:
         raise ValueError(f"missing columns: {missing}")
     if not features:
         raise ValueError("no feature columns")
-    return raw.select(*metadata, *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c.removeprefix(prefix)) for c in features])
+    number = {c: F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)") for c in features}
+    finite = {c: F.when(F.abs(x) < float("inf"), x) for c, x in number.items()}  # not a number is above all numbers
+    if strict:
+        bad = F.array_compact(F.array(*[F.when((F.trim(F.col(f"`{c}`")) != "") & finite[c].isNull(), F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("cell"))) for c in features]))
+        found = raw.select(*[F.col(metadata[0]).alias("row")] if metadata else [F.lit(None).alias("row")], F.explode(bad).alias("b")).select("row", "b.*").limit(5).collect()
+        require(not found, "ml_error", "features are finite numbers", cells=[r.asDict() for r in found])
+    return raw.select(*metadata, *[finite[c].alias(c.removeprefix(prefix)) for c in features])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
