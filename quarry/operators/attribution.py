@@ -167,7 +167,7 @@ def contributions(x: Column, ensemble: Ensemble, n_features: int) -> Column:
     @F.pandas_udf("array<double>")
     def valued(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            table = np.array([np.asarray(r, float) for r in rows], float).reshape(len(rows), n_features)
+            table = np.vstack(rows.to_list()).astype(float) if len(rows) else np.zeros((0, n_features))
             step = max(1, AT_ONCE // max(1, len(every)) * 8)
             parts = [values(table[i : i + step], every, n_features) for i in range(0, len(table), step)]
             yield pd.Series(list(np.concatenate(parts)) if parts else [], dtype=object)
@@ -230,7 +230,7 @@ def scores(kind: Column, x: Column, kinds: list[str], scorers: list[Scorer], n_f
     @F.pandas_udf("array<struct<model:int,p:double>>")
     def run(kind: pd.Series, x: pd.Series) -> pd.Series:
         out: list[list[dict]] = [[] for _ in range(len(x))]
-        table = np.array([np.asarray(v, float) for v in x], float).reshape(len(x), n_features)
+        table = np.vstack(x.to_list()).astype(float) if len(x) else np.zeros((0, n_features))
         for k, (of, one) in enumerate(zip(kinds, scorers, strict=True)):
             at = np.flatnonzero((kind == of).to_numpy())
             for i, p in zip(at.tolist(), one.probability(table[at]).tolist() if len(at) else (), strict=True):

@@ -137,11 +137,15 @@ def write_predictions(rows: DataFrame, path: str, overwrite: bool = False) -> No
     T.write_sheet(rows, path, B.PREDICTION_COLUMNS, overwrite)
 
 
+#: Rows that one JSON text may hold where no limit is given.
+EMITTED = 100_000
+
+
 def emit(rows: DataFrame, order: list, limit: int | None = None) -> str:
-    """Rows as a JSON list, keys sorted (SNK-16)."""
-    part = rows.orderBy(*order)
-    part = part if limit is None else part.limit(limit)
-    return T.plain_json([r.asDict(True) for r in part.collect()])
+    """Rows as a JSON list, keys sorted (SNK-16): the first limit ones, or all of them, which must be EMITTED at most."""
+    part = rows.orderBy(*order).limit(EMITTED + 1 if limit is None else limit).collect()
+    require(limit is not None or len(part) <= EMITTED, "conflict", "too many rows for one text: give a limit, or write a sheet", most=EMITTED)
+    return T.plain_json([r.asDict(True) for r in part])
 
 
 def payload(job: dict, project: dict, sections: dict[str, DataFrame], max_rows: int) -> dict:

@@ -75,6 +75,27 @@ def _refusals(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "path string, reason string, detail string")
 
 
+def placed(spark: SparkSession, path: Path, shared: bool | None = None) -> str:
+    """Where executors find what the driver has at a local path: there in a local session, else copied below the folder of
+    spark.checkpoint.dir, which driver and executors share."""
+    sc = spark.sparkContext
+    if shared is None:
+        shared = not sc.master.startswith("local") or sc.master.startswith("local-cluster")
+    if not shared:
+        return str(path)
+    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    require(where, "workspace_error", "spark.checkpoint.dir must name a folder that driver and executors share")
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    target = to(f"{where}/intake-{uuid.uuid4().hex}/{path.name}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)  # else a shared local folder gets a hidden file beside each
+    try:
+        fs.copyFromLocalFile(to(path.as_uri()), target)
+    finally:
+        fs.setWriteChecksum(True)
+    return target.toString()
+
+
 def folder(spark: SparkSession, path: str) -> Source:
     """A folder, read where it is (SRC-2)."""
     require(Path(path).is_dir(), "unsupported_source", "not a folder", path=path)
@@ -87,7 +108,7 @@ def archive(spark: SparkSession, path: str, limits: Limits = Limits()) -> Source
     require(Path(path).suffix.lower() in limits.archive_suffixes, "unsupported_source", "unsupported archive", suffix=Path(path).suffix)
     require(Path(path).stat().st_size <= limits.archive_bytes, "archive_too_large", "the archive is too large", size=Path(path).stat().st_size)
     require(Path(path).stat().st_size > 0, "corrupt_archive", "the archive is empty", archive=Path(path).name)
-    members = I.unpack(spark.read.format("binaryFile").load(str(Path(path).resolve()))).cache()
+    members = I.unpack(spark.read.format("binaryFile").load(placed(spark, Path(path).resolve()))).cache()
     broken = members.where("kind = 'corrupt'").select("path").take(1)
     require(not broken, "corrupt_archive", "the archive cannot be read", archive=Path(path).name)
     total = I.archive_totals(members, limits).first()
@@ -104,7 +125,7 @@ def single(spark: SparkSession, path: str) -> Source:
     """One source file (SRC-4)."""
     require(Path(path).is_file(), "unsupported_source", "not a file", path=path)
     name = Path(path).name
-    read = spark.read.format("binaryFile").load(str(Path(path).resolve())).select(F.lit(name).alias("path"), F.col("length").alias("size"), "content")
+    read = spark.read.format("binaryFile").load(placed(spark, Path(path).resolve())).select(F.lit(name).alias("path"), F.col("length").alias("size"), "content")
     return Source(safe_name(Path(path).stem), "single_file", name, read, _refusals(spark))
 
 
@@ -124,7 +145,7 @@ def clone(url: str, target: str, seconds: float, attempts: int = CLONE_ATTEMPTS)
 
 
 def repository(spark: SparkSession, url: str, work: str, limits: Limits = Limits()) -> Source:
-    """A repository by its address, cloned below work (SRC-18)."""
+    """A repository by its address, cloned below work, a folder of the driver, and placed where executors find it (SRC-18)."""
     from quarry.sources.manifests import repository as check
 
     hosts = (re.sub(r"^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+).*$", r"\1", url.strip()),) if limits.any_host else limits.hosts
@@ -133,7 +154,7 @@ def repository(spark: SparkSession, url: str, work: str, limits: Limits = Limits
     target = contained(work, "repo-" + uuid.uuid4().hex)
     revision = clone(verdict["normal"], str(target), limits.clone_seconds)
     name = verdict["normal"].rsplit("/", 1)[-1].removesuffix(".git")
-    return Source(safe_name(name), "git", f"{verdict['normal']}@{revision[:12]}", unwrapped(I.scan(spark, str(target))), _refusals(spark))
+    return Source(safe_name(name), "git", f"{verdict['normal']}@{revision[:12]}", unwrapped(I.scan(spark, placed(spark, target))), _refusals(spark))
 
 
 def open_source(spark: SparkSession, source: str, work: str | None = None, limits: Limits = Limits()) -> Source:

@@ -114,3 +114,15 @@ def test_settings():
     r = settings.Registry("parser")
     assert r.add("a", 1) == 1 and r.get("a") == 1 and list(r) == ["a"]
     assert code_of(lambda: r.add("a", 2)) == "duplicate_registration" and code_of(lambda: r.get("b")) == "unknown_plugin"
+
+
+def test_what_the_driver_has_is_placed_in_the_shared_folder(spark, tmp_path):
+    tree = tmp_path / "clone"
+    (tree / "pkg").mkdir(parents=True)
+    (tree / "pkg" / "a.py").write_text("x = 1\n")
+    assert N.placed(spark, tree) == str(tree)
+    where = N.placed(spark, tree, shared=True)
+    assert where.rstrip("/").endswith("/clone") and not where.startswith(str(tree))
+    assert {r.path for r in I.scan(spark, where).collect()} == {"pkg/a.py"}
+    one = N.placed(spark, tree / "pkg" / "a.py", shared=True)
+    assert spark.read.text(one).first()[0] == "x = 1"

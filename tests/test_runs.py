@@ -174,7 +174,7 @@ def test_bundle(spark, tmp_path):
         B.merged(spark.createDataFrame([("a", "x"), ("a", "y")], "k string, v string"), "k", "v").collect()
 
 
-def test_reports(spark, tmp_path):
+def test_reports(spark, tmp_path, monkeypatch):
     findings = spark.createDataFrame([("b.py", 2, "s", "=1+1"), ("a.py", 1, "s", "x")], "path string, start_line int, smell string, rationale string")
     job, project = {"job_id": "j", "status": "succeeded"}, {"name": "my project"}
     contents = W.payload(job, project, {"findings": findings}, 1)
@@ -194,6 +194,10 @@ def test_reports(spark, tmp_path):
     with pytest.raises(errors.QuarryError):
         W.payload({"status": "running"}, project, {}, 1)
     assert json.loads(W.emit(findings, ["path"]))[0]["path"] == "a.py"
+    monkeypatch.setattr(W, "EMITTED", 0)
+    with pytest.raises(errors.QuarryError):
+        W.emit(findings, ["path"])
+    assert len(json.loads(W.emit(findings, ["path"], 1))) == 1
     findings.write.parquet(str(tmp_path / "db" / "findings"))
     assert W.read_table(spark, str(tmp_path / "db"), "findings").count() == 2
 
