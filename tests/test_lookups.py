@@ -28,6 +28,17 @@ def test_lookups_of_odd_keys(spark):
     assert C.classes_named(names.select(F.lit("p").alias("project"), "name").limit(0), names.select(F.lit("p").alias("project"), "name", F.col("dst").alias("entity_id"))).count() == 0
 
 
+def test_edges_are_not_shuffled(spark):
+    names = spark.createDataFrame([(f"d{i}", n) for i in range(300) for n in (["x"] if i % 3 else ["x", "y"])] + [("d1", None), (None, "x"), ("d2", "x")], "dst string, name string")
+    uses = spark.createDataFrame([(f"{'d' if i % 2 else 's'}{i}", n) for i in range(300) for n in ("x", "y", "z")] + [(None, "x"), ("s0", None)], "src string, name string")
+    got = C.referencing_classes(names.where("dst <> 'd7' or dst is null"), uses, names)
+    want = {(d.dst, u.src) for d in names.collect() for u in uses.collect() if d.name and d.name == u.name and d.dst and u.src and d.dst not in ("d7", u.src)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    top = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in top.split("Aggregate")[0]  # no distinct above the join that makes the edges
+
+
 def test_tables_changed_by_key(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
