@@ -22,19 +22,23 @@ def controls(entities: DataFrame, positives: DataFrame, key: str, group: list[st
 
     The draw is by hash order, so it does not depend on partitioning. Candidates are counted by the first digits of their
     hashes: those before the bucket in which a group's number is reached are taken, and only that bucket is ranked.
+    Findings grow with the entities, so they are met by a shuffle also where their compressed rows look small.
     """
     wanted = positives.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) * ratio).alias("w")).select(*group, F.greatest("w", F.lit(minimum)).alias("w"))
-    return drawn(entities.join(positives.select(key, *group).distinct(), [key, *group], "left_anti"), wanted, key, group, seed)
+    return drawn(entities.join(positives.select(key, *group).distinct().hint("merge"), [key, *group], "left_anti"), wanted, key, group, seed)
 
 
 def drawn(candidates: DataFrame, wanted: DataFrame, key: str, group: list[str], seed: str) -> DataFrame:
-    """The first w candidates of each group in the order of their hashes; wanted: group, w."""
+    """The first w candidates of each group in the order of their hashes; wanted: group, w.
+
+    Groups are few (rules): what is broadcast is at most 4,096 rows for each, never the candidates.
+    """
     order = F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(g).cast("string") for g in group], F.col(key).cast("string")), 256)
     rest = candidates.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3))
     counted = rest.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n")).join(wanted, group)
     before = F.sum("_n").over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
     left = counted.withColumn("_left", F.col("w") - before).where("_left > 0").select(*group, "_b", "_left", (F.col("_n") <= F.col("_left")).alias("_all"))
-    met = rest.join(left, [*group, "_b"])
+    met = rest.join(F.broadcast(left), [*group, "_b"])
     ranked = met.where("not _all").withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy("_h", key))).where("_r <= _left").drop("_r")
     return met.where("_all").union(ranked).drop("_h", "_b", "_left", "_all")
 

@@ -88,3 +88,13 @@ def test_partitions_are_replaced(spark, tmp_path):
     Q.replace_partition(spark.createDataFrame([(1, "a"), (2, "b")], "job int, v string"), path, "job")
     Q.replace_partition(spark.createDataFrame([(2, "c")], "job int, v string"), path, "job")
     assert {(r.job, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")}
+
+
+@pytest.mark.parametrize("name", ["controls_sampled", "bundle_counters"])
+def test_entities_and_findings_are_not_broadcast(spark, name):
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    df = bindings.queries()[name](spark, str(DATA))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "LeftAnti" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("LeftAnti" in x or "c_custkey" in x or ("_b#" in x and "BuildLeft" in x))]
